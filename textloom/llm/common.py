@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that an Arrow batch should hold at most (a single longer row still travels whole).
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,7 +53,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def arrow_bounds(spark: SparkSession) -> None:
     """Keep Arrow batches small in bytes, whatever the length of the texts, where Spark has the setting."""
-    for key, value in (("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES)), ("spark.sql.execution.arrow.maxRecordsPerBatch", "8192")):
+    for key, value in (("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES)), ("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")):
         try:
             spark.conf.set(key, value)
         except Exception:  # noqa: BLE001  an older Spark: the row bound alone holds
@@ -111,3 +111,30 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 def binary_array(data: np.ndarray | bytes, offsets: np.ndarray) -> pa.Array:
     """A binary column from end-to-end bytes and n+1 offsets."""
     return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int32)), pa.py_buffer(data if isinstance(data, bytes) else np.ascontiguousarray(data))])
+
+
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(key long, doc_id long, text): key is unique and ordered as doc_id.
+
+    It is doc_id itself where that has no nulls or repeats. Otherwise rows are sorted by doc_id
+    (null last), then text, and numbered in a table of the shared folder, so that rows that share a
+    doc_id count as documents one after another.
+    """
+    rows = id_and_text(docs, id_col, text_col)
+    odd = rows.groupBy("doc_id").count().where("doc_id is null or count > 1").limit(1).count()
+    if not odd:
+        return rows.select(F.col("doc_id").alias("key"), "doc_id", "text")
+    order = [F.col("doc_id").asc_nulls_last(), F.col("text")]
+    ranked = rows.repartitionByRange(*order).sortWithinPartitions(*order).select(F.monotonically_increasing_id().alias("key"), "doc_id", "text")
+    return saved(ranked, "keyed")
+
+
+def merged(cuts: np.ndarray) -> np.ndarray:
+    """Union of half-open ranges, as sorted ranges that neither overlap nor touch (n x 2)."""
+    if not len(cuts):
+        return np.zeros((0, 2), np.int64)
+    cuts = cuts[np.argsort(cuts[:, 0], kind="stable")].astype(np.int64)
+    reach = np.maximum.accumulate(cuts[:, 1])
+    head = np.concatenate([[True], cuts[1:, 0] > reach[:-1]])
+    at = np.flatnonzero(head)
+    return np.stack([cuts[at, 0], np.append(reach[at[1:] - 1], reach[-1])], axis=1)

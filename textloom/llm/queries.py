@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, packing, secrets, token_records
+from . import automata_dedup, bytebpe, packing, secrets, suffix_dedup, token_records
 from .common import saved, table
 
 
@@ -29,6 +29,11 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(found)
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document without 100-byte strings that start earlier."""
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of base patterns and linked credentials in every document."""
     got = secrets.scan(table(spark, sf_dir, "documents"))
@@ -37,6 +42,11 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", n("assign"), n("access"), n("hex"), n("linked"), F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document without 50-word windows of earlier documents."""
+    return automata_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every document, and their decoding."""
     import public_tokenizers
