@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import automata_dedup, bytebpe, packing, secrets, suffix_dedup, token_records
+from . import automata_dedup, bytebpe, near_dedup, packing, secrets, suffix_dedup, token_records
 from .common import saved, table
 
 
@@ -54,6 +54,11 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.round_trip(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose sets of 3-word shingles are linked at a similarity of 0.85 or more."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), 3, 85)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
