@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import id_and_text, saved, slices, text_buffer
-from .wordbpe import loaded
+from .wordbpe import SLICE, loaded
 
 #: Plan rows that may be broadcast (about 40 bytes each); a larger plan is joined by shuffle.
 BROADCAST_ROWS = 500_000
@@ -56,7 +56,7 @@ def pieces(docs: DataFrame, tokenizer: str, most: int = 4096, end_id: int | None
         tail = np.array([] if end_id is None else [end_id], np.uint32)
         for batch in batches:
             _, off = text_buffer(batch.column(1))
-            for a, b in slices(off, 32 << 20):
+            for a, b in slices(off, SLICE):
                 ids, bounds = bpe.encode(batch.column(1).slice(a, b - a))
                 rows = []
                 for i, key in enumerate(batch.column(0).slice(a, b - a).to_pylist()):

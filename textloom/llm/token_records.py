@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import binary_array, id_and_text, saved, slices, text_buffer, workspace
-from .wordbpe import loaded
+from .wordbpe import SLICE, loaded
 
 #: Frames in a file at most, so that one file stays a small unit of reading.
 FRAMES_A_FILE = 50_000
@@ -75,7 +75,7 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
         bpe = loaded(tokenizer)
         for batch in batches:
             _, off = text_buffer(batch.column(1))
-            for a, b in slices(off, 32 << 20):
+            for a, b in slices(off, SLICE):
                 ids, bounds = bpe.encode(batch.column(1).slice(a, b - a))
                 keys = batch.column(0).slice(a, b - a).to_pylist()
                 tail = np.array([] if end_id is None else [end_id], ids.dtype)

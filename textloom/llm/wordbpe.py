@@ -20,8 +20,10 @@ from .common import ranges
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Distinct pieces and chunks that a worker keeps; with either table full, later ones are encoded batch by batch.
-MOST_PIECES = 700_000
-MOST_CHUNKS = 1_000_000
+MOST_PIECES = 300_000
+MOST_CHUNKS = 400_000
+#: Bytes of text that are encoded at once.
+SLICE = 4 << 20
 _LATIN = r"[\x21-\x7e\xa1-\xff\n]*"
 _loaded: dict[str, "WordBpe"] = {}
 
@@ -132,7 +134,7 @@ class WordBpe:
         new = list({p for p in found if p not in known})
         piece_ids, piece_bounds = self.ids, self.bounds
         if new:
-            got = np.array(self.bare.encode("\n".join(new), add_special_tokens=False).ids, np.uint32)
+            got = np.concatenate([np.array(self.bare.encode("\n".join(new[i : i + 10_000]), add_special_tokens=False).ids, np.uint32) for i in range(0, len(new), 10_000)])
             ends = np.flatnonzero(self.last[got]) + 1
             if len(ends) != len(new):
                 raise AssertionError("a piece did not end in exactly one word end")
