@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import automata_dedup, bytebpe, near_dedup, packing, secrets, suffix_dedup, token_records
+from . import automata_dedup, bytebpe, knn_join, near_dedup, neighbour_graph, packing, secrets, suffix_dedup, token_records
 from .common import saved, table
 
 
@@ -29,6 +29,12 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(found)
 
 
+def op3_voronoi_knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest integer inner products of every 20th vector with all others."""
+    rows = knn_join.vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 64)
+    return knn_join.top_k(rows, rows.where(F.col("id") % 20 == 0), 20)
+
+
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document without 100-byte strings that start earlier."""
     return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
@@ -42,6 +48,12 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", n("assign"), n("access"), n("hex"), n("linked"), F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
 
 
+def op7_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest that graph search finds for every 100th vector."""
+    rows = knn_join.vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", None, nonzero=True)
+    return neighbour_graph.search(neighbour_graph.build(rows), rows.where(F.col("id") % 100 == 0), 10)
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document without 50-word windows of earlier documents."""
     return automata_dedup.dedup(table(spark, sf_dir, "documents"))
@@ -63,5 +75,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
+OP3_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, d.vec_id, list_inner_product(q.e::DOUBLE[], d.e::DOUBLE[])::BIGINT AS score
+  FROM v q JOIN v d ON q.vec_id <> d.vec_id AND len(q.e) = len(d.e) WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_voronoi_knn_join": OP3_SQL}
