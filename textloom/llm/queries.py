@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import automata_dedup, bytebpe, knn_join, near_dedup, neighbour_graph, packing, secrets, suffix_dedup, token_records
+from . import automata_dedup, bytebpe, knn_join, near_dedup, neighbour_graph, packing, quality, secrets, suffix_dedup, token_records
 from .common import saved, table
 
 
@@ -48,6 +48,12 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", n("assign"), n("access"), n("hex"), n("linked"), F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
 
 
+def op6_cotraining_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, by co-trained views of its text and its page."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 nearest that graph search finds for every 100th vector."""
     rows = knn_join.vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", None, nonzero=True)
