@@ -138,3 +138,12 @@ def merged(cuts: np.ndarray) -> np.ndarray:
     head = np.concatenate([[True], cuts[1:, 0] > reach[:-1]])
     at = np.flatnonzero(head)
     return np.stack([cuts[at, 0], np.append(reach[at[1:] - 1], reach[-1])], axis=1)
+
+
+def with_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = "_key") -> DataFrame:
+    """docs and a unique key, ordered as doc_id: that itself, or a row number as in ``keyed``, in a written table."""
+    odd = docs.groupBy(id_col).count().where(F.col(id_col).isNull() | (F.col("count") > 1)).limit(1).count()
+    if not odd:
+        return docs.withColumn(key, F.col(id_col).cast("long"))
+    order = [F.col(id_col).cast("long").asc_nulls_last(), F.coalesce(F.col(text_col).cast("string"), F.lit(""))]
+    return saved(docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(key, F.monotonically_increasing_id()), "keyed")
