@@ -1,0 +1,97 @@
+import random
+
+import pytest
+
+import corpus_pipeline
+from textloom.llm import quality, suffix_dedup
+
+COLUMNS = [("doc_id", "bigint"), ("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "bigint")]
+
+
+@pytest.fixture(scope="module")
+def sf_dir(spark, tmp_path_factory):
+    """Plain prose of which a fifth is shouted junk, with copies, repeats, secrets, nulls and empty texts."""
+    r = random.Random(8)
+    words = ["".join(r.choice("abcdefghij") for _ in range(r.randrange(2, 8))) for _ in range(400)]
+    prose = lambda n: " ".join(r.choice(words) for _ in range(n))
+    docs, labels, shared = [], [], prose(40)
+    for i in range(600):
+        text, good = prose(r.randrange(20, 80)), 1
+        if i % 5 == 0:
+            text, good = text.upper().replace(" ", "!! "), 0
+        elif i % 7 == 0:
+            text += " " + shared
+        elif i % 11 == 0:
+            text = docs[-1][1] + " x" if docs[-1][1].islower() else text
+        elif i % 13 == 0:
+            text += " password = abcdefgh12345678"
+        docs.append((i, text, "en", f"s{i % 3}", len(text)))
+        labels.append((i, good, 0))
+    docs += [(600, None, None, None, None), (601, "", "en", "s", 0)]
+    path = tmp_path_factory.mktemp("sf")
+    spark.createDataFrame(docs, ", ".join(f"{c} {t}" for c, t in COLUMNS)).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(labels[:400], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return str(path)
+
+
+def shingles(t):
+    w = (t or "").split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+
+def test_every_stage_on_what_the_one_before_kept(spark, sf_dir):
+    kept = {}
+    docs = corpus_pipeline.table(spark, sf_dir, "documents")
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "minhash_near_dedup", "suffix_array_dedup", "secret_scans", "best_fit_packing"]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = {r.doc_id: r for r in docs.collect()}
+        docs = corpus_pipeline.saved(stage(spark, docs, sf_dir), name)
+        assert docs.dtypes == COLUMNS
+        after = {r.doc_id: r for r in docs.collect()}
+        kept[name] = after
+        assert docs.count() == len(after) and set(after) <= set(before)
+        if name == "quality_classifier":
+            table = corpus_pipeline.table(spark, sf_dir, "documents")
+            said = {r.doc_id: r.kept for r in quality.score(table, quality.train(table, corpus_pipeline.table(spark, sf_dir, "labels"))).collect()}
+            assert set(after) == {d for d, k in said.items() if k}
+            assert sum(d % 5 != 0 and d < 600 for d in after) >= 0.97 * 480 and sum(d % 5 == 0 and d < 600 for d in after) <= 6
+        elif name == "minhash_near_dedup":
+            sets, up = {d: shingles(r.text) for d, r in before.items()}, {d: d for d in before}
+
+            def root(x):
+                while up[x] != x:
+                    x = up[x]
+                return x
+
+            order = sorted(sets)
+            for i, a in enumerate(order):
+                for b in order[:i]:
+                    both = len(sets[a] & sets[b])
+                    if both and 100 * both >= 80 * len(sets[a] | sets[b]):
+                        x, y = root(a), root(b)
+                        up[max(x, y)] = min(x, y)
+            assert set(after) == {d for d in order if root(d) == d} and len(after) < len(before)
+        elif name == "suffix_array_dedup":
+            seen, cut = set(), 0
+            for d in sorted(before):
+                body = (before[d].text or "").encode()
+                hit = bytearray(len(body))
+                for s in range(len(body) - 99):
+                    if body[s : s + 100] in seen:
+                        hit[s : s + 100] = b"\1" * 100
+                    seen.add(body[s : s + 100])
+                want = bytes(b for b, h in zip(body, hit) if not h).decode("utf-8", "ignore")
+                cut += sum(hit)
+                assert (after[d].text or "") == want and after[d].n_chars in (len(want), None)
+            assert cut > 1000 and suffix_dedup.WINDOW == 100
+        else:
+            assert not any("abcdefgh12345678" in (r.text or "") for r in after.values())
+            assert sum("[SECRET]" in (r.text or "") for r in after.values()) >= 10
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
+    assert {r.doc_id for r in packed} == set(kept["secret_scans"])
+
+
+def test_stages_of_an_empty_table(spark, sf_dir):
+    docs = corpus_pipeline.table(spark, sf_dir, "documents").limit(0)
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        assert stage(spark, docs, sf_dir).collect() == []

@@ -140,10 +140,12 @@ def merged(cuts: np.ndarray) -> np.ndarray:
     return np.stack([cuts[at, 0], np.append(reach[at[1:] - 1], reach[-1])], axis=1)
 
 
-def with_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = "_key") -> DataFrame:
-    """docs and a unique key, ordered as doc_id: that itself, or a row number as in ``keyed``, in a written table."""
-    odd = docs.groupBy(id_col).count().where(F.col(id_col).isNull() | (F.col("count") > 1)).limit(1).count()
+def keyed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(key, row struct, text): key is unique and ordered as doc_id, as in ``keyed``; row holds all columns but text, clear of other names."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c.lower() != text_col.lower()]
+    rows = docs.select(F.col(id_col).cast("long").alias("key"), F.struct(*others).alias("row"), F.col(text_col).cast("string").alias("text"))
+    odd = rows.groupBy("key").count().where("key is null or count > 1").limit(1).count()
     if not odd:
-        return docs.withColumn(key, F.col(id_col).cast("long"))
-    order = [F.col(id_col).cast("long").asc_nulls_last(), F.coalesce(F.col(text_col).cast("string"), F.lit(""))]
-    return saved(docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(key, F.monotonically_increasing_id()), "keyed")
+        return rows
+    order = [F.col("key").asc_nulls_last(), F.coalesce("text", F.lit(""))]
+    return saved(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("key", F.monotonically_increasing_id()), "keyed")

@@ -53,9 +53,10 @@ def scores(queries: np.ndarray, data: np.ndarray) -> np.ndarray:
     most = np.abs(queries).max(initial=0) * np.abs(data).max(initial=0) * queries.shape[1]
     if most < 2**53:
         return (queries @ data.T).astype(np.int64)
-    exact = queries.astype(object) @ data.astype(object).T if most >= 2**63 else None
-    if exact is None:
+    if most < 2**63:
         return queries.astype(np.int64) @ data.astype(np.int64).T
+    whole = np.frompyfunc(int, 1, 1)
+    exact = whole(queries) @ whole(data).T
     return np.array([[max(-(2**63), min(2**63 - 1, int(x))) for x in row] for row in exact], np.int64)
 
 

@@ -11,15 +11,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import near_dedup, quality, secrets, suffix_dedup
-from .common import arrow_bounds, with_key
+from .common import arrow_bounds, keyed_rows
 
 REDACTED = "[SECRET]"
 
 
 def _as_before(changed: DataFrame, docs: DataFrame) -> DataFrame:
-    if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return changed.select(*docs.columns)
+    """The columns of docs from (row, text)."""
+
+    def column(name: str):
+        if name.lower() == "text":
+            return F.col("text").alias(name)
+        if name == "n_chars":
+            return F.length("text").cast(docs.schema[name].dataType).alias(name)
+        return F.col("row").getField(name).alias(name)
+
+    return changed.select(*map(column, docs.columns))
 
 
 def good_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -30,25 +37,26 @@ def good_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def one_of_each_group(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The document of smallest doc_id of each group of near duplicates."""
-    rows = with_key(docs)
-    keyed = rows.select(F.col("_key").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = keyed_rows(docs)
+    keyed = rows.select("key", F.col("row").getField("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     arrow_bounds(docs.sparkSession)
-    gone = near_dedup.near_components(keyed, size, percent).where("key <> component").select(F.col("key").alias("_key"))
-    return rows.join(gone, "_key", "left_anti").select(*docs.columns)
+    gone = near_dedup.near_components(keyed, size, percent).where("key <> component").select("key")
+    kept = rows.join(gone, "key", "left_anti")
+    return kept.select(*(F.col("text").cast(docs.schema[c].dataType).alias(c) if c.lower() == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def without_repeats(docs: DataFrame, window: int = suffix_dedup.WINDOW) -> DataFrame:
-    """All documents, their texts without strings that start earlier; a text may end up empty."""
-    rows = with_key(docs)
-    kept = suffix_dedup.dedup(rows.select(F.col("_key").alias("doc_id"), "text"), window, texts=True)
-    return _as_before(rows.drop("text").join(kept.select(F.col("doc_id").alias("_key"), F.col("kept_text").alias("text")), "_key"), docs)
+    """All documents, their texts without strings that start earlier; a text may end up empty, and a null one is empty."""
+    rows = keyed_rows(docs)
+    kept = suffix_dedup.dedup(rows.select(F.col("key").alias("doc_id"), "text"), window, texts=True)
+    return _as_before(rows.select("key", "row").join(kept.select(F.col("doc_id").alias("key"), F.col("kept_text").alias("text")), "key"), docs)
 
 
 def without_secrets(docs: DataFrame, mask: str = REDACTED) -> DataFrame:
-    """All documents, each secret's span replaced by a mask."""
-    rows = with_key(docs)
-    found = secrets.scan(rows.select(F.col("_key").alias("doc_id"), "text")).where(F.size("spans") > 0)
-    cuts = found.select(F.col("doc_id").alias("_key"), F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("_cuts"))
+    """All documents, each secret's span replaced by a mask; a null text stays null."""
+    rows = keyed_rows(docs)
+    found = secrets.scan(rows.select(F.col("key").alias("doc_id"), "text")).where(F.size("spans") > 0)
+    cuts = found.select(F.col("doc_id").alias("key"), F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("cuts"))
 
     def redact(batches):
         for batch in batches:
@@ -60,8 +68,8 @@ def without_secrets(docs: DataFrame, mask: str = REDACTED) -> DataFrame:
                         made += [text[at:s], mask]
                     at = max(at, e)
                 out.append("".join([*made, text[at:]]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["_key", "_text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["key", "masked"])
 
-    hit = rows.select("_key", "text").join(cuts, "_key").mapInArrow(redact, "_key long, _text string")
-    joined = rows.join(hit, "_key", "left").withColumn("text", F.coalesce("_text", "text"))
+    hit = rows.select("key", "text").join(cuts, "key").mapInArrow(redact, "key long, masked string")
+    joined = rows.join(hit, "key", "left").select("row", F.coalesce("masked", "text").alias("text"))
     return _as_before(joined, docs)
