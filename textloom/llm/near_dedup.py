@@ -34,7 +34,7 @@ PLACES, BITS, MISS = 132, 16, 1e-6
 #: Distance within which a member is settled by its centre.
 TIGHT = 10
 #: Members of a bucket, documents of a cluster and its shingles that one task compares at most; half of it is a block.
-BUCKET, CLUSTER, CLUSTER_SHINGLES = 2048, 512, 2_000_000
+BUCKET, CLUSTER, CLUSTER_SHINGLES = 2048, 512, 500_000
 
 
 def distance_threshold(similarity: float, places: int = PLACES, miss: float = MISS) -> int:
@@ -199,8 +199,10 @@ def near_components(rows: DataFrame, size: int, percent: int, places: int = PLAC
     def sets_of(batches):
         for batch in batches:
             data, off = text_buffer(batch.column(1))
-            hashes, bounds = shingle_hashes(data, off, size)
-            sets = [np.unique(hashes[s:e]).tobytes() for s, e in zip(bounds[:-1], bounds[1:])]
+            sets = []
+            for a, b in slices(off, 1 << 20):
+                hashes, bounds = shingle_hashes(data[off[a] : off[b]], off[a : b + 1] - off[a], size)
+                sets += [np.unique(hashes[s:e]).tobytes() for s, e in zip(bounds[:-1], bounds[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["key", "shingles"])
 
     in_cluster = rows.select("key", "text").join(clusters.select("key"), "key", "left_semi")

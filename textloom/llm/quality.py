@@ -230,12 +230,14 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", labell
         for batch in batches:
             data, off = text_buffer(batch.column(1))
             lang, source = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            f, w, o = text_features(data, off)
-            p = page_features(data, off, lang, source)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([f[a:b].astype("<u4").tobytes() for a, b in zip(o[:-1], o[1:])], pa.binary()), pa.array([w[a:b].astype("<f4").tobytes() for a, b in zip(o[:-1], o[1:])], pa.binary()), pa.array([x.astype("<f4").tobytes() for x in p], pa.binary())],
-                ["doc_id", "f", "w", "p"],
-            )
+            for s, e in slices(off, 1 << 20):
+                part, cut = data[off[s] : off[e]], off[s : e + 1] - off[s]
+                f, w, o = text_features(part, cut)
+                p = page_features(part, cut, lang[s:e], source[s:e])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(s, e - s), pa.array([f[a:b].astype("<u4").tobytes() for a, b in zip(o[:-1], o[1:])], pa.binary()), pa.array([w[a:b].astype("<f4").tobytes() for a, b in zip(o[:-1], o[1:])], pa.binary()), pa.array([x.astype("<f4").tobytes() for x in p], pa.binary())],
+                    ["doc_id", "f", "w", "p"],
+                )
 
     found = sorted(got.mapInArrow(describe, "doc_id long, f binary, w binary, p binary").collect(), key=lambda r: (r.doc_id, bytes(r.p)))
     if not found:

@@ -296,7 +296,7 @@ def cut_windows(docs: DataFrame, unit: Unit, solve: Callable, finish: Callable,
     pieces = stage.where("piece is not null").select("h", "key", "lo", "big", "piece")
 
     def solved(batches):
-        for group in whole_groups(batches, 0, 1 << 21):
+        for group in whole_groups(batches, 0, 1 << 20):
             got = solve(list(zip(group["h"], group["key"], group["lo"], group["piece"])))
             if got:
                 keys, starts, ends = zip(*got)
