@@ -61,3 +61,31 @@ def test_rounds_add_pseudo_labels():
     label = np.where(np.arange(400) < 60, y, -1)
     model = quality.cotrain(text, page, label, share=40)
     assert model.learned and ((model.score(text, page) > 0.5) == (y == 1)).mean() > 0.85
+
+
+def test_every_unlabelled_document_can_teach(spark, monkeypatch):
+    """Past any fixed pool: the surest of all unlabelled documents are handed over, equal ones once, known labels never."""
+    docs, labels = corpus(5000, 4)
+    docs += [(9000 + i, *docs[4999][1:]) for i in range(50)] + [(None, "odd " * 30, None, None, None)]
+    df = spark.createDataFrame(docs, SCHEMA)
+    seen, asked = [], quality.Unlabelled.scored
+
+    def scored(self, models):
+        out = asked(self, models)
+        seen.append((models, self, out.collect(), [set(x) for x in self.given]))
+        return out
+
+    monkeypatch.setattr(quality.Unlabelled, "scored", scored)
+    quality.train(df, spark.createDataFrame(labels[:400], "doc_id long, quality int, toxic int"))
+    assert len(seen) == quality.ROUNDS
+    (text, page), pool, rows, _ = seen[0]
+    found, x, d = quality._features(pool.views.select("id", *quality._COLUMNS[1:]).where("doc_id >= 400 or doc_id is null"))
+    want = {i: (a, b) for i, a, b in zip(found, x.dot(text), d.dot(page)) if abs(a) > quality.SURE or abs(b) > quality.SURE}
+    assert len(rows) == len({r.id for r in rows}) and len(want) > 3000
+    # features travel as float32 here, so documents on the line may differ
+    assert len({r.id for r in rows} ^ set(want)) < 0.01 * len(want)
+    good = round(quality.SHARE * np.mean([q for i, (_, q, _) in enumerate(labels[:400]) if i % 4 != 3]))
+    first = seen[1][3][1]  # what the text model handed over in the first round
+    top = sorted((r.z0 for r in rows if r.z0 > quality.SURE), reverse=True)[:good]
+    assert {r.id for r in rows if r.z0 > top[-1]} <= first and len(first) <= quality.SHARE + 1
+    assert all(len(a) < len(b) for a, b in zip(seen[1][3], seen[2][3]))

@@ -2,9 +2,10 @@
 
 The text view is hashed words and word pairs; the page view is what is known without reading: language, source,
 length, and the shares and layout of characters and lines. Each view has a logistic model, fitted on
-a bounded sample of labelled rows. Over rounds, each model labels the pool documents that it is most
-sure of, and the other learns from them. Both are then calibrated (Platt) on held-out labels, and
-their log odds, weighted by how well they do there, score every document.
+a bounded sample of labelled rows. In each round both models score every unlabelled document, in
+Spark; those of all of them that a model is most sure of, by class, go to the other with its label,
+and the other learns from them. Both are then calibrated (Platt) on held-out labels, and their log
+odds, weighted by how well they do there, score every document.
 """
 
 from __future__ import annotations
@@ -17,14 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_bounds, slices, text_buffer
+from .common import arrow_bounds, drop_path, saved, slices, text_buffer
 from .minhash import LOWER
 from .winnow import mix, word_hashes, words_of
 
-#: Bounds of the labelled sample and of the unlabelled pool, in documents.
-LABELLED, POOL = 5000, 3000
-#: Hashed features of the text view, rounds, and documents of each class that a model hands over in a round.
+#: Bound of the labelled sample, in documents; unlabelled documents have none.
+LABELLED = 5000
+#: Hashed features of the text view, rounds, and documents that a model hands over in a round, in the classes' known proportion.
 FEATURES, ROUNDS, SHARE = 1 << 16, 3, 250
+#: Log odds from which a model is sure of a document.
+SURE = 2.0
 _PAIR = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -101,6 +104,9 @@ class Sparse:
     def grad(self, r: np.ndarray) -> np.ndarray:
         return np.append(np.bincount(self.f, self.w * r[self.row], minlength=FEATURES), r.sum())
 
+    def joined(self, other: Sparse) -> Sparse:
+        return Sparse(np.concatenate([self.f, other.f]), np.concatenate([self.w, other.w]), np.concatenate([self.o, self.o[-1] + other.o[1:]]))
+
     size = FEATURES + 1
 
 
@@ -114,6 +120,9 @@ class Dense:
     def grad(self, r: np.ndarray) -> np.ndarray:
         return r @ self.x
 
+    def joined(self, other: Dense) -> Dense:
+        return Dense(np.concatenate([self.x, other.x]))
+
 
 def fit(x: Sparse | Dense, y: np.ndarray, weight: np.ndarray, l2: float, steps: int = 70) -> np.ndarray:
     """Logistic regression by Adam on all rows; rows of weight 0 play no part."""
@@ -161,8 +170,13 @@ def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return (float(a), float(b)) if a > 0 else (0.0, float(np.log((y.sum() + 1) / ((1 - y).sum() + 1))))
 
 
-def cotrain(text: Sparse, page: Dense, label: np.ndarray, rounds: int = ROUNDS, share: int = SHARE) -> Model:
-    """label: 1 good, 0 bad, -1 not known. Every fourth labelled row is held out for calibration."""
+def cotrain(text: Sparse, page: Dense, label: np.ndarray, rounds: int = ROUNDS, share: int = SHARE, surest=None) -> Model:
+    """label: 1 good, 0 bad, -1 not known. Every fourth labelled row is held out for calibration.
+
+    The unlabelled are the rows of label -1, or else what ``surest(models, sizes)`` knows of: it gives,
+    of all that a view hasn't got yet, the sizes = (bad, good) that the other's model is most sure of,
+    as (text, page, classes), with the class for each view in two rows, -1 for none.
+    """
     known = np.flatnonzero(label >= 0)
     held = known[3::4]
     train = np.setdiff1d(known, held)
@@ -179,15 +193,23 @@ def cotrain(text: Sparse, page: Dense, label: np.ndarray, rounds: int = ROUNDS,
         models = [fit(x, y, w, l2) for x, y, w, l2 in zip((text, page), ys, ws, (1e-5, 1e-4))]
         if r == rounds:
             break
+        sizes = max(1, round(share * (1 - base))), max(1, round(share * base))
+        if surest:
+            more = surest(models, sizes)
+            text, page = text.joined(more[0]), page.joined(more[1])
+            for v in (0, 1):
+                ys[v] = np.append(ys[v], np.maximum(more[2][v], 0))
+                ws[v] = np.append(ws[v], np.where(more[2][v] >= 0, 0.5, 0))
+            continue
         for me, x in ((0, text), (1, page)):
             other = 1 - me
             z = x.dot(models[me])
             free = np.flatnonzero((label < 0) & (ws[other] == 0))
             # both classes in their known proportion, and only where the model is sure
-            for good, n in ((1, max(1, round(share * base))), (0, max(1, round(share * (1 - base))))):
+            for good, n in ((1, sizes[1]), (0, sizes[0])):
                 s = z[free] if good else -z[free]
                 take = free[np.argsort(-s, kind="stable")[:n]]
-                take = take[(z[take] if good else -z[take]) > 2.0]
+                take = take[(z[take] if good else -z[take]) > SURE]
                 ys[other][take], ws[other][take] = good, 0.5
                 free = np.setdiff1d(free, take)
     zs = [x.dot(m)[held] for x, m in zip((text, page), models)]
@@ -207,45 +229,100 @@ def _view(docs: DataFrame, name: str):
     return F.col(name).cast("string").alias(name) if name in {c.lower() for c in docs.columns} else F.lit(None).cast("string").alias(name)
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", labelled: int = LABELLED, pool: int = POOL) -> Model:
-    """Fit on at most ``labelled`` labelled documents and ``pool`` others, chosen by a hash of doc_id.
+def _described(batch: pa.RecordBatch):
+    """(rows from, to, text view, page view) of parts of a batch of (any, text, lang, source)."""
+    data, off = text_buffer(batch.column(1))
+    lang, source = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+    for a, b in slices(off, 1 << 20):
+        part, cut = data[off[a] : off[b]], off[a : b + 1] - off[a]
+        yield a, b, Sparse(*text_features(part, cut)), Dense(page_features(part, cut, lang[a:b], source[a:b]))
 
-    Labels other than 0 and 1 and null ids drop out; a document with both labels counts as unlabelled.
-    With fewer than two classes there is nothing to learn, and the model keeps every document.
-    """
-    known = labels.where(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(label_col).alias("_lo"), F.max(label_col).alias("_hi"))
-    known = known.where("_lo = _hi").select("doc_id", F.col("_lo").cast("int").alias("label"))
-    mark = F.xxhash64("doc_id", F.lit("quality"))
-    # ids first: only the sample's texts are read for good
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().join(known, "doc_id", "left").withColumn("mark", mark)
-    chosen = ids.where("label is not null").orderBy("mark").limit(labelled).unionByName(ids.where("label is null").orderBy("mark").limit(pool))
-    rows = chosen.select("doc_id", "label", "mark").collect()  # at most labelled + pool
-    label_of = {r.doc_id: -1 if r.label is None else r.label for r in rows}
-    sample = docs.sparkSession.createDataFrame([(r.doc_id,) for r in rows], "doc_id long")
-    arrow_bounds(docs.sparkSession)
-    views = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(_view(docs, c) for c in _COLUMNS[1:]))
-    got = views.join(F.broadcast(sample), "doc_id").select("doc_id", *_COLUMNS[1:])
+
+def _features(rows: DataFrame) -> tuple[list, Sparse, Dense]:
+    """Ids and both views of a bounded table (id long, text, lang, source), by id."""
 
     def describe(batches):
         for batch in batches:
-            data, off = text_buffer(batch.column(1))
-            lang, source = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            for s, e in slices(off, 1 << 20):
-                part, cut = data[off[s] : off[e]], off[s : e + 1] - off[s]
-                f, w, o = text_features(part, cut)
-                p = page_features(part, cut, lang[s:e], source[s:e])
+            for s, e, text, page in _described(batch):
+                f, w, o = text.f.astype("<u4"), text.w.astype("<f4"), text.o
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(s, e - s), pa.array([f[a:b].astype("<u4").tobytes() for a, b in zip(o[:-1], o[1:])], pa.binary()), pa.array([w[a:b].astype("<f4").tobytes() for a, b in zip(o[:-1], o[1:])], pa.binary()), pa.array([x.astype("<f4").tobytes() for x in p], pa.binary())],
-                    ["doc_id", "f", "w", "p"],
+                    [batch.column(0).slice(s, e - s), *(pa.array([x[a:b].tobytes() for a, b in zip(o[:-1], o[1:])], pa.binary()) for x in (f, w)), pa.array([x.astype("<f4").tobytes() for x in page.x], pa.binary())],
+                    ["id", "f", "w", "p"],
                 )
 
-    found = sorted(got.mapInArrow(describe, "doc_id long, f binary, w binary, p binary").collect(), key=lambda r: (r.doc_id, bytes(r.p)))
-    if not found:
-        return Model(np.zeros(FEATURES + 1), np.zeros(PAGE), learned=False)
+    found = sorted(rows.mapInArrow(describe, "id long, f binary, w binary, p binary").collect(), key=lambda r: (r.id, bytes(r.p)))
     sizes = [len(r.f) // 4 for r in found]
     text = Sparse(np.frombuffer(b"".join(r.f for r in found), "<u4").astype(np.int64), np.frombuffer(b"".join(r.w for r in found), "<f4").astype(float), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64))
     page = Dense(np.frombuffer(b"".join(r.p for r in found), "<f4").reshape(len(found), PAGE).astype(float))
-    return cotrain(text, page, np.array([label_of[r.doc_id] for r in found]))
+    return [r.id for r in found], text, page
+
+
+class Unlabelled:
+    """The documents without a known label, whatever their number; equal ones count once."""
+
+    def __init__(self, views: DataFrame, known: DataFrame) -> None:
+        named = (F.coalesce(c, F.lit("None")) for c in ("lang", "source"))  # as hash_of has them
+        self.views, self.known = views.withColumn("id", F.xxhash64("text", *named)), known
+        self.given: tuple[set, set] = set(), set()
+
+    def scored(self, models: list) -> DataFrame:
+        """(id, z0, z1): both models' log odds of each document that one of them is sure of."""
+        spark = self.views.sparkSession
+        sent = spark.sparkContext.broadcast(models)
+
+        def run(batches):
+            m = sent.value
+            for batch in batches:
+                zs = [(text.dot(m[0]), page.dot(m[1])) for _, _, text, page in _described(batch)]
+                z = [np.concatenate([x[v] for x in zs]) if zs else np.zeros(0) for v in (0, 1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).field(0), batch.column(0).field(1), *map(pa.array, z)], ["doc_id", "id", "z0", "z1"])
+
+        z = self.views.select(F.struct("doc_id", "id"), *_COLUMNS[1:]).mapInArrow(run, "doc_id long, id long, z0 double, z1 double")
+        sure = z.where((F.abs("z0") > SURE) | (F.abs("z1") > SURE)).join(self.known, "doc_id", "left_anti")
+        out = saved(sure.groupBy("id").agg(F.max("z0").alias("z0"), F.max("z1").alias("z1")), "quality-sure")
+        sent.destroy()
+        return out
+
+    def surest(self, models: list, sizes: tuple[int, int]) -> tuple[Sparse, Dense, np.ndarray]:
+        """What ``cotrain`` asks for."""
+        spark = self.views.sparkSession
+        z = self.scored(models)
+        chosen: tuple[dict, dict] = {}, {}
+        for me in (0, 1):
+            other = 1 - me
+            free = z.where(~F.col("id").isin(list(self.given[other]))) if self.given[other] else z
+            for good in (1, 0):
+                s = F.col(f"z{me}") if good else -F.col(f"z{me}")
+                for r in free.where(s > SURE).orderBy(s.desc(), "id").limit(sizes[good]).select("id").collect():
+                    chosen[other][r.id] = good
+            self.given[other].update(chosen[other])
+        drop_path(spark, z)
+        ids = spark.createDataFrame([(x,) for x in sorted({*chosen[0], *chosen[1]})], "id long")
+        rows = self.views.join(F.broadcast(ids), "id").dropDuplicates(["id"])
+        found, text, page = _features(rows.select("id", *_COLUMNS[1:]))
+        return text, page, np.array([[c.get(x, -1) for x in found] for c in chosen]).reshape(2, len(found))
+
+
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", labelled: int = LABELLED) -> Model:
+    """Fit on at most ``labelled`` labelled documents, chosen by a hash of doc_id, and on every unlabelled one.
+
+    Each round reads docs twice: to score all, and for the texts of the few that are handed over. Labels
+    other than 0 and 1 and null ids among labels drop out; a document with both labels or a null id
+    counts as unlabelled. With fewer than two classes there is nothing to learn, and the model keeps
+    every document.
+    """
+    known = labels.where(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(label_col).alias("_lo"), F.max(label_col).alias("_hi"))
+    known = known.where("_lo = _hi").select("doc_id", F.col("_lo").cast("int").alias("label"))
+    # ids first: only the sample's texts are read for good
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().join(known, "doc_id").withColumn("mark", F.xxhash64("doc_id", F.lit("quality")))
+    label_of = {r.doc_id: r.label for r in ids.orderBy("mark").limit(labelled).collect()}
+    sample = docs.sparkSession.createDataFrame([(x,) for x in label_of], "doc_id long")
+    arrow_bounds(docs.sparkSession)
+    views = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(_view(docs, c) for c in _COLUMNS[1:]))
+    found, text, page = _features(views.join(F.broadcast(sample), "doc_id").select(F.col("doc_id").alias("id"), *_COLUMNS[1:]))
+    if not found:
+        return Model(np.zeros(FEATURES + 1), np.zeros(PAGE), learned=False)
+    return cotrain(text, page, np.array([label_of[x] for x in found]), surest=Unlabelled(views, known.select("doc_id")).surest)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.5, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -263,12 +340,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5, columns: tuple[
     def run(batches):
         m = sent.value
         for batch in batches:
-            data, off = text_buffer(batch.column(1))
-            lang, source = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            out = []
-            for a, b in slices(off, 1 << 20):
-                part, cut = data[off[a] : off[b]], off[a : b + 1] - off[a]
-                out.append(m.score(Sparse(*text_features(part, cut)), Dense(page_features(part, cut, lang[a:b], source[a:b]))))
+            out = [m.score(text, page) for _, _, text, page in _described(batch)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out) if out else np.zeros(0))], ["_kept", "quality"])
 
     kept_type = rows.schema["_kept"].dataType.simpleString()
