@@ -85,3 +85,19 @@ def test_greedy_search_finds_the_nearest():
     q = r.normal(size=5).astype(np.float32)
     pool = neighbour_graph.greedy(v, near.ravel(), np.arange(301) * 8, q, np.arange(0, 300, 30), 60, 8)
     assert pool[0] == ((v - q) ** 2).sum(axis=1).argmin()
+
+
+def test_graph_search_reaches_groups_of_near_copies(spark):
+    """One shard, far larger than the beam, of groups of 40 that have no links between them."""
+    r = np.random.default_rng(11)
+    centre = r.normal(size=(150, 32)) * 10
+    x = (np.repeat(centre, 40, axis=0) + r.normal(size=(6000, 32)) * 0.01)
+    data = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "id long, v array<double>")
+    asked = range(0, 6000, 60)
+    got = neighbour_graph.search(neighbour_graph.build(data), data.where("id % 60 = 0"), 10).collect()
+    hits = 0
+    for i in asked:
+        d = ((x - x[i]) ** 2).sum(axis=1)
+        d[i] = np.inf
+        hits += len(set(np.argsort(d)[:10].tolist()) & {g.vec_id for g in got if g.query_id == i})
+    assert hits / (10 * len(asked)) > 0.9

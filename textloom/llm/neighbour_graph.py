@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_bounds, saved, text_buffer
+from .common import arrow_bounds, ranges, saved, text_buffer
 
 #: Nodes of a shard at most, neighbours kept, neighbours sampled each way in a round, rounds, and parts of a shard that score at a time.
 SHARD, K, SAMPLE, ROUNDS, PARTS = 25_000, 24, 12, 8, 4
@@ -158,6 +158,25 @@ def build(rows: DataFrame, k: int = K, sample: int = SAMPLE, rounds: int = ROUND
     return nodes, graph
 
 
+def entry_nodes(links: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Nodes to start searches from: some spread evenly, and as many more as it takes for every node to be within two links of one.
+
+    So each component of the graph has an entry, and of tight groups without links between them none is out of reach.
+    """
+    n = len(bounds) - 1
+    spread = np.unique(np.linspace(0, n - 1, min(n, 64)).astype(np.int64))
+    near, entries = np.zeros(n, bool), []
+    for u in [*spread.tolist(), *range(n)]:
+        if near[u] and len(entries) >= len(spread):
+            continue
+        entries.append(u)
+        around = links[bounds[u] : bounds[u + 1]]
+        near[u] = True
+        near[around] = True
+        near[links[ranges(bounds[around], bounds[around + 1] - bounds[around])]] = True
+    return np.array(entries, np.int64)
+
+
 def greedy(vectors: np.ndarray, links: np.ndarray, bounds: np.ndarray, query: np.ndarray, entries: np.ndarray, beam: int, step: int) -> np.ndarray:
     """Nodes nearest to query that a best-first search from entries finds, nearest first."""
     seen = np.zeros(len(vectors), bool)
@@ -221,7 +240,7 @@ def search(index: tuple[DataFrame, DataFrame], queries: DataFrame, k: int = 10,
                 u, v = np.repeat(np.arange(n), sizes), np.concatenate(near)
                 both = np.unique(np.concatenate([u * n + v, v.astype(np.int64) * n + u]))
                 links, bounds = (both % n).astype(np.int32), np.searchsorted(both // n, np.arange(n + 1))
-                entries = np.unique(np.linspace(0, n - 1, min(n, 64)).astype(np.int64))
+                entries = entry_nodes(links, bounds)
                 continue
             q_ids, out = [x for b in group for x in b.column("id").to_pylist()], []
             for own, q in zip(q_ids, data):
