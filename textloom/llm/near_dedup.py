@@ -4,7 +4,7 @@ Two documents with similarity s differ in a binomial(K, 1-s) number of signature
 threshold T is set so that a pair at the similarity threshold exceeds it with probability MISS at
 most. Signatures are split into m = T // (r+1) + 1 chunks, so that of T differences some chunk has r
 at most: each chunk is indexed under every choice of its places without r of them, and all pairs
-within T share a key. What follows is exact:
+within T share a key. Registered uses have r = 0: T + 1 chunks that match exactly. What follows is exact:
 
 1. Equal sets become one representative.
 2. Within a bucket, centres take members within T+t, and members within t of a centre are settled;
