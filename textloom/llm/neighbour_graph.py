@@ -119,7 +119,7 @@ def _sampled(graph: DataFrame, sample: int) -> DataFrame:
 
 
 def build(rows: DataFrame, k: int = K, sample: int = SAMPLE, rounds: int = ROUNDS, shard: int = SHARD, parts: int = PARTS, still: float = 0.02) -> tuple[DataFrame, DataFrame]:
-    """(nodes, graph) of a table of ``knn_join.vectors``; every row is in it.
+    """(nodes, graph) of a table of ``knn_join.vectors``; every distinct vector is in it, with its COPIES smallest ids.
 
     Ends after rounds, or once fewer than ``still`` of all neighbours are new in a round.
     """
