@@ -89,3 +89,15 @@ def test_every_unlabelled_document_can_teach(spark, monkeypatch):
     top = sorted((r.z0 for r in rows if r.z0 > quality.SURE), reverse=True)[:good]
     assert {r.id for r in rows if r.z0 > top[-1]} <= first and len(first) <= quality.SHARE + 1
     assert all(len(a) < len(b) for a, b in zip(seen[1][3], seen[2][3]))
+
+
+def test_word_order_reaches_the_text_view():
+    """The same words, in order and in another: pairs of neighbours tell them apart, within a document only."""
+    texts = [b"the cat sat on the mat", b"mat the on sat cat the", b"", b"mat", b"THE cat sat on the MAT"]
+    offsets = np.cumsum([0, *map(len, texts)])
+    f, w, o = quality.text_features(np.frombuffer(b"".join(texts), np.uint8), offsets)
+    rows = [set(f[a:b].tolist()) for a, b in zip(o[:-1], o[1:])]
+    assert rows[0] != rows[1] and len(rows[0] - rows[1]) >= 4
+    assert rows[2] == set() and len(rows[3]) == 2 and len(quality.text_features(np.zeros(0, np.uint8), np.zeros(1, np.int64))[0]) == 0
+    alone = quality.text_features(np.frombuffer(texts[1], np.uint8), np.array([0, len(texts[1])]))[0]
+    assert rows[1] == set(alone.tolist())

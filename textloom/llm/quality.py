@@ -1,6 +1,6 @@
 """Quality classifier by co-training of two views of a document.
 
-The text view is hashed words and word pairs; the page view is what is known without reading: language, source,
+The text view is hashed words, word pairs and ends of words; the page view is what is known without reading: language, source,
 length, and the shares and layout of characters and lines. Each view has a logistic model, fitted on
 a bounded sample of labelled rows. In each round both models score every unlabelled document, in
 Spark; those of all of them that a model is most sure of, by class, go to the other with its label,
@@ -25,22 +25,23 @@ from .winnow import mix, word_hashes, words_of
 #: Bound of the labelled sample, in documents; unlabelled documents have none.
 LABELLED = 5000
 #: Hashed features of the text view, rounds, and documents that a model hands over in a round, in the classes' known proportion.
-FEATURES, ROUNDS, SHARE = 1 << 16, 3, 250
+FEATURES, ROUNDS, SHARE = 1 << 16, 3, 250  # features travel as 16 bits
 #: Log odds from which a model is sure of a document.
 SURE = 2.0
-_PAIR = np.uint64(0x9FB21C651E98DF25)
+_PAIR, _NEXT = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 
 
 def text_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(feature, weight, offsets) of each document: hashed lower-case words and ends of words, L2-normalised counts."""
+    """(feature, weight, offsets) of each document: hashed lower-case words, pairs of neighbouring words and ends of words, L2-normalised counts."""
     starts, ends, bounds = words_of(data, offsets)
     low = word_hashes(LOWER[data], starts, ends)
     # how a word ends: its last two bytes, letters as one kind
     kind = np.where((data >= 128) | ((data | 32) >= 97) & ((data | 32) <= 122), 255, data).astype(np.uint64)
     tail = mix(kind[ends - 1] * np.uint64(257) + kind[np.maximum(ends - 2, starts)] + _PAIR) if len(starts) else low
+    pair = mix(low[:-1] * _NEXT + low[1:])
     feats, weights, sizes = [], [], []
     for s, e in zip(bounds[:-1], bounds[1:]):
-        f, n = np.unique(np.concatenate([low[s:e], tail[s:e]]) % np.uint64(FEATURES), return_counts=True)
+        f, n = np.unique(np.concatenate([low[s:e], tail[s:e], pair[s : max(s, e - 1)]]) % np.uint64(FEATURES), return_counts=True)
         w = np.sqrt(n)
         feats.append(f.astype(np.int64))
         weights.append(w / max(1e-9, math.sqrt(float((w * w).sum()))))
@@ -96,13 +97,24 @@ class Sparse:
 
     def __init__(self, feature: np.ndarray, weight: np.ndarray, offsets: np.ndarray) -> None:
         self.f, self.w, self.o = feature, weight, offsets
-        self.row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+        self.row = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
+
+    def parts(self):
+        """(row, feature, weight) in parts, so that what is made of them stays small beside the rows."""
+        for s in range(0, len(self.f), 1 << 19):
+            yield self.row[s : s + (1 << 19)], self.f[s : s + (1 << 19)], self.w[s : s + (1 << 19)]
 
     def dot(self, model: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, self.w * model[self.f], minlength=len(self.o) - 1) + model[-1]
+        out = np.zeros(len(self.o) - 1)
+        for row, f, w in self.parts():
+            out += np.bincount(row, w * model[f], minlength=len(out))
+        return out + model[-1]
 
     def grad(self, r: np.ndarray) -> np.ndarray:
-        return np.append(np.bincount(self.f, self.w * r[self.row], minlength=FEATURES), r.sum())
+        out = np.zeros(FEATURES)
+        for row, f, w in self.parts():
+            out += np.bincount(f, w * r[row], minlength=FEATURES)
+        return np.append(out, r.sum())
 
     def joined(self, other: Sparse) -> Sparse:
         return Sparse(np.concatenate([self.f, other.f]), np.concatenate([self.w, other.w]), np.concatenate([self.o, self.o[-1] + other.o[1:]]))
@@ -244,17 +256,19 @@ def _features(rows: DataFrame) -> tuple[list, Sparse, Dense]:
     def describe(batches):
         for batch in batches:
             for s, e, text, page in _described(batch):
-                f, w, o = text.f.astype("<u4"), text.w.astype("<f4"), text.o
+                f, w, o = text.f.astype("<u2"), text.w.astype("<f4"), text.o
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(s, e - s), *(pa.array([x[a:b].tobytes() for a, b in zip(o[:-1], o[1:])], pa.binary()) for x in (f, w)), pa.array([x.astype("<f4").tobytes() for x in page.x], pa.binary())],
                     ["id", "f", "w", "p"],
                 )
 
-    found = sorted(rows.mapInArrow(describe, "id long, f binary, w binary, p binary").collect(), key=lambda r: (r.id, bytes(r.p)))
-    sizes = [len(r.f) // 4 for r in found]
-    text = Sparse(np.frombuffer(b"".join(r.f for r in found), "<u4").astype(np.int64), np.frombuffer(b"".join(r.w for r in found), "<f4").astype(float), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64))
-    page = Dense(np.frombuffer(b"".join(r.p for r in found), "<f4").reshape(len(found), PAGE).astype(float))
-    return [r.id for r in found], text, page
+    # by Arrow, as rows of Python objects take a multiple of the driver's memory
+    found = rows.mapInArrow(describe, "id long, f binary, w binary, p binary").toArrow().to_pylist()
+    found.sort(key=lambda r: (r["id"], r["p"]))
+    sizes = [len(r["f"]) // 2 for r in found]
+    text = Sparse(np.frombuffer(b"".join(r["f"] for r in found), "<u2"), np.frombuffer(b"".join(r["w"] for r in found), "<f4"), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64))
+    page = Dense(np.frombuffer(b"".join(r["p"] for r in found), "<f4").reshape(len(found), PAGE).astype(float))
+    return [r["id"] for r in found], text, page
 
 
 class Unlabelled:
