@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,13 +17,13 @@ BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, set here only where unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only a local session may go without, as in tests."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="textloom-"))
         at = spark.sparkContext.getCheckpointDir()
-        if not at:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="textloom-"))
-            at = spark.sparkContext.getCheckpointDir()
     return at.rstrip("/")
 
 
@@ -149,3 +150,32 @@ def keyed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return rows
     order = [F.col("key").asc_nulls_last(), F.coalesce("text", F.lit(""))]
     return saved(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("key", F.monotonically_increasing_id()), "keyed")
+
+
+#: Rows of one key that may stand in a task, and keys that are salted at most: any other key holds less than 1/HEAVY_KEYS of all rows.
+EACH, HEAVY_KEYS = 1024, 10_000
+
+
+def heavy(df: DataFrame, key: str, each: int = EACH) -> DataFrame | None:
+    """(key, _salts) of the keys with most rows, and how many parts of about ``each`` rows to split them into; None without any."""
+    counts = df.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > each)
+    rows = counts.orderBy(F.col("_n").desc()).limit(HEAVY_KEYS).select(key, F.ceil(F.col("_n") / each).cast("int").alias("_salts")).collect()
+    return df.sparkSession.createDataFrame(rows, f"{key} {df.schema[key].dataType.simpleString()}, _salts int") if rows else None
+
+
+def salted(df: DataFrame, key: str, hot: DataFrame | None, by: str) -> DataFrame:
+    """Add _salt, which deals the rows of hot keys by a hash of the column ``by``."""
+    if hot is None:
+        return df.withColumn("_salt", F.lit(0))
+    salt = F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(by), F.col("_salts"))).cast("int")
+    return df.join(F.broadcast(hot), key, "left").withColumn("_salt", salt).drop("_salts")
+
+
+def salted_join(many: DataFrame, one: DataFrame, key: str, by: str, each: int = EACH) -> DataFrame:
+    """Inner join of many rows a key with one row a key; a key with very many rows is dealt to many tasks by a hash of ``by``."""
+    hot = heavy(many, key, each)
+    if hot is None:
+        return many.join(one, key)
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)).alias("_salt")
+    sent = one.join(F.broadcast(hot), key, "left").select(*one.columns, copies)
+    return salted(many, key, hot, by).join(sent, [key, "_salt"]).drop("_salt")

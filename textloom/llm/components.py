@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_path, saved
+from .common import drop_path, salted_join, saved
 
 
 class Sets:
@@ -33,19 +33,21 @@ def _least(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """(node, component) of every node of edges (u, v); component is its least node.
 
-    Each round is two joins on a node, with sums pre-aggregated, until the stars stand still. The
-    edges of a round are a table in the shared folder; only a count and a sum come to the driver.
+    Each round is two joins on a node, with sums pre-aggregated, until the stars stand still; the
+    links of a node with very many are dealt to many tasks. The edges of a round are a table in the
+    shared folder; only a count and a sum, and the nodes with most links, come to the driver.
     """
     now = saved(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     mark = None
     for _ in range(most):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_least(both), "u").where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = saved(salted_join(both, _least(both), "u", "v").where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
         least = _least(large)
-        joined = large.join(least, "u")
+        joined = salted_join(large, least, "u", "v")
         small = joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         new = saved(small, "edges")
-        drop_path(new.sparkSession, now)
+        for old in (now, large):
+            drop_path(new.sparkSession, old)
         now = new
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(seen) == mark:

@@ -3,38 +3,38 @@
 Two documents with similarity s differ in a binomial(K, 1-s) number of signature places. The distance
 threshold T is set so that a pair at the similarity threshold exceeds it with probability MISS at
 most. Signatures are split into m = T // (r+1) + 1 chunks, so that of T differences some chunk has r
-at most: each chunk is indexed under every choice of its places without r of them, and all pairs
-within T share a key. Registered uses have r = 0: T + 1 chunks that match exactly. What follows is exact:
+at most: each chunk is indexed under every choice of its places without r of them (ERRORS = 1: a key
+for each place, which its chunk leaves out), and all pairs within T share a key. What follows is exact:
 
 1. Equal sets become one representative.
-2. Within a bucket, centres take members within T+t, and members within t of a centre are settled;
-   any pair within T thus ends up in one cluster, with fewer links than members.
-3. Clusters (components of those links) compare full shingle sets through inverted lists, and give
-   a component to each document.
+2. Of each bucket (the representatives of a key) the member that meets most others leads; leader and
+   members within T compare full shingle sets. So a family of near copies takes a comparison for each
+   copy and not for each pair, and a page that all of them come from is found as their leader.
+3. Members of a bucket that are still in different components compare with each other, if within T.
 
-Buckets and clusters beyond a size are dealt out as pairs of blocks, so no task holds a large one.
+Components of the links are the groups. A leader with very many members is dealt to many tasks; so
+are buckets of very many members in different components, as pairs of blocks.
 """
 
 from __future__ import annotations
 
+import struct
 from itertools import combinations
 from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keyed, ranges, saved, slices, text_buffer
-from .components import Sets, components
+from .common import drop_path, heavy, keyed, salted, salted_join, saved, slices, text_buffer
+from .components import components
 from .minhash import shingle_hashes, signatures
 from .winnow import mix
 
-PLACES, BITS, MISS = 132, 16, 1e-6
-#: Distance within which a member is settled by its centre.
-TIGHT = 10
-#: Members of a bucket, documents of a cluster and its shingles that one task compares at most; half of it is a block.
-BUCKET, CLUSTER, CLUSTER_SHINGLES = 2048, 512, 500_000
+PLACES, BITS, MISS, ERRORS = 80, 16, 1e-6, 1
+#: Members of a bucket in different components that one task compares at most; half of it is a block.
+BUCKET = 2048
 
 
 def distance_threshold(similarity: float, places: int = PLACES, miss: float = MISS) -> int:
@@ -64,49 +64,20 @@ def chunk_keys(sigs: np.ndarray, threshold: int, errors: int = 0) -> np.ndarray:
     return np.stack(out, axis=1).view(np.int64) if n else np.zeros((0, len(out)), np.int64)
 
 
-def bucket_links(sigs: np.ndarray, threshold: int, tight: int = TIGHT) -> list[tuple[int, int]]:
-    """Links among members that join every pair within threshold; fewer than members."""
-    n = len(sigs)
-    sets, links, open_ = Sets(n), [], np.ones(n, bool)
-    groups = n
-    for c in range(n):
-        if not open_[c] or groups == 1:
-            continue
-        far = (sigs != sigs[c]).sum(axis=1)
-        for x in np.flatnonzero(far <= threshold + tight).tolist():
-            if sets.join(c, x):
-                links.append((c, x))
-                groups -= 1
-        open_[far <= tight] = False
-    return links
-
-
-def set_links(shingles: np.ndarray, offsets: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links that join all sets with 100 * intersection >= percent * union; sets are sorted and distinct."""
-    n, sizes = len(offsets) - 1, np.diff(offsets)
-    _, term = np.unique(shingles, return_inverse=True)
-    doc = np.repeat(np.arange(n), sizes)
-    order = np.argsort(term, kind="stable")
-    posting, bounds = doc[order], np.concatenate([[0], np.cumsum(np.bincount(term))])
-    sets, links, groups = Sets(n), [], n
-    for i in range(n):
-        if groups == 1:
-            break
-        own = term[offsets[i] : offsets[i + 1]]
-        lengths = bounds[own + 1] - bounds[own]
-        own, lengths = own[lengths > 1], lengths[lengths > 1]
-        if not len(own):
-            continue
-        both = np.bincount(posting[ranges(bounds[own], lengths)], minlength=n)
-        for j in np.flatnonzero((100 * both >= percent * (sizes[i] + sizes - both)) & (both > 0)).tolist():
-            if sets.join(i, j):
-                links.append((i, j))
-                groups -= 1
-    return links
+def far_pairs(sigs: np.ndarray, group: np.ndarray, sizes: np.ndarray, threshold: int, percent: int) -> list[tuple[int, int]]:
+    """Pairs of rows of different groups within threshold whose sets' sizes allow the similarity."""
+    out = []
+    for i in range(len(sigs) - 1):
+        rest = np.flatnonzero(group[i + 1 :] != group[i]) + i + 1
+        a, b = np.minimum(sizes[rest], sizes[i]), np.maximum(sizes[rest], sizes[i])
+        rest = rest[100 * a >= percent * b]
+        if len(rest):
+            out += [(i, int(j)) for j in rest[(sigs[rest] != sigs[i]).sum(axis=1) <= threshold]]
+    return out
 
 
 def described(rows: DataFrame, size: int, places: int = PLACES, bits: int = BITS) -> DataFrame:
-    """(key, doc_id, n_shingles, s1, s2, sig): size of the set, a 128-bit hash of it, and its signature."""
+    """(key, doc_id, n_shingles, set, sig): size of the set, its name (two 64-bit hashes and the size), and its signature."""
 
     def run(batches):
         for batch in batches:
@@ -115,13 +86,30 @@ def described(rows: DataFrame, size: int, places: int = PLACES, bits: int = BITS
                 hashes, bounds = shingle_hashes(data[off[a] : off[b]], off[a : b + 1] - off[a], size)
                 sigs = signatures(hashes, bounds, places, bits)
                 sets = [np.unique(hashes[s:e]) for s, e in zip(bounds[:-1], bounds[1:])]
-                one = lambda salt: pa.array(np.array([mix(s + np.uint64(salt)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64))  # noqa: B023, E731
+                names = [struct.pack("<QQQ", int(mix(x + np.uint64(1)).sum(dtype=np.uint64)), int(mix(x + _SALT).sum(dtype=np.uint64)), len(x)) for x in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), one(1), one(0x5851F42D4C957F2D), pa.array([x.tobytes() for x in sigs], pa.binary())],
-                    ["key", "doc_id", "n_shingles", "s1", "s2", "sig"],
+                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([len(x) for x in sets], pa.int64()), pa.array(names, pa.binary()), pa.array([x.tobytes() for x in sigs], pa.binary())],
+                    ["key", "doc_id", "n_shingles", "set", "sig"],
                 )
 
-    return rows.select("key", "doc_id", "text").mapInArrow(run, "key long, doc_id long, n_shingles long, s1 long, s2 long, sig binary")
+    return rows.select("key", "doc_id", "text").mapInArrow(run, "key long, doc_id long, n_shingles long, set binary, sig binary")
+
+
+_SALT = np.uint64(0x5851F42D4C957F2D)
+
+
+def _shingle_sets(rows: DataFrame, size: int) -> DataFrame:
+    """(key, data): the sorted distinct shingle hashes of each document."""
+
+    def run(batches):
+        for batch in batches:
+            data, off = text_buffer(batch.column(1))
+            for a, b in slices(off, 1 << 20):
+                hashes, bounds = shingle_hashes(data[off[a] : off[b]], off[a : b + 1] - off[a], size)
+                sets = [np.unique(hashes[s:e]).tobytes() for s, e in zip(bounds[:-1], bounds[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sets, pa.binary())], ["key", "data"])
+
+    return rows.select("key", "text").mapInArrow(run, "key long, data binary")
 
 
 def _blocks(df: DataFrame, count: str) -> DataFrame:
@@ -131,9 +119,8 @@ def _blocks(df: DataFrame, count: str) -> DataFrame:
     return df.withColumn("_b", block).withColumn("_o", other).withColumn("lo", F.least("_b", "_o")).withColumn("hi", F.greatest("_b", "_o")).drop("_b", "_o", count)
 
 
-def _groups(batches, names: tuple[str, ...]):
-    """Whole groups of rows that are sorted by names, as tables."""
-    held: list[pa.RecordBatch] = []
+def runs(batches, names: tuple[str, ...]):
+    """(first row of its group?, slice) of batches that are sorted by names, in order; a group may come in several slices."""
     last = None
     for batch in batches:
         if not batch.num_rows:
@@ -142,11 +129,18 @@ def _groups(batches, names: tuple[str, ...]):
         cut = np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1
         bounds = [0, *cut.tolist(), len(ids)]
         for s, e in zip(bounds[:-1], bounds[1:]):
-            if held and tuple(ids[s]) != last:
-                yield held
-                held = []
-            held.append(batch.slice(s, e - s))
+            yield tuple(ids[s]) != last, batch.slice(s, e - s)
             last = tuple(ids[s])
+
+
+def _groups(batches, names: tuple[str, ...]):
+    """Whole groups of rows that are sorted by names, as lists of batches."""
+    held: list[pa.RecordBatch] = []
+    for first, part in runs(batches, names):
+        if first and held:
+            yield held
+            held = []
+        held.append(part)
     if held:
         yield held
 
@@ -156,14 +150,39 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
 
-def near_components(rows: DataFrame, size: int, percent: int, places: int = PLACES, bits: int = BITS, errors: int = 0, bucket: int = BUCKET, cluster: int = CLUSTER) -> DataFrame:
+def meet(pairs: DataFrame, things: DataFrame, test, parts: int) -> DataFrame:
+    """Pairs (u, v) for which test(data of u, offsets and data of several v) holds; things has a row (key, data) for each.
+
+    The data of u stand first in their task, and those of its v stream past; u with very many v is dealt to many tasks.
+    """
+    hot = heavy(pairs, "u")
+    dealt = salted(pairs, "u", hot, "v")
+    lead = dealt.select("u", "_salt").distinct().join(things, F.col("u") == F.col("key")).select("u", "_salt", F.lit(0).alias("kind"), F.col("u").alias("v"), "data")
+    rest = dealt.join(things, F.col("v") == F.col("key")).select("u", "_salt", F.lit(1).alias("kind"), "v", "data")
+    order = ("u", "_salt")
+
+    def run(batches):
+        held = None
+        for _, part in runs(batches, (*order, "kind")):
+            data, off = text_buffer(part.column("data"))
+            if part.column("kind")[0].as_py() == 0:
+                held = data
+                continue
+            hit = np.flatnonzero(test(held, data, off))
+            if len(hit):
+                yield part.select(["u", "v"]).take(pa.array(hit))
+
+    return lead.unionByName(rest).repartition(parts, *order).sortWithinPartitions(*order, "kind", "v").mapInArrow(run, "u long, v long")
+
+
+def near_components(rows: DataFrame, size: int, percent: int, places: int = PLACES, bits: int = BITS, errors: int = ERRORS, bucket: int = BUCKET) -> DataFrame:
     """(key, doc_id, n_shingles, component) of keyed documents; component is the least key linked, directly or not."""
     spark = rows.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     threshold = distance_threshold(percent / 100, places)
     docs = saved(described(rows, size, places, bits), "signatures")
-    reps = docs.where("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min(F.struct("key", "sig")).alias("rep"))
-    reps = saved(reps.select("s1", "s2", "n_shingles", "rep.key", "rep.sig"), "representatives")
+    some = docs.where("n_shingles > 0")
+    reps = saved(some.groupBy("set").agg(F.min(F.struct("key", "n_shingles", "sig")).alias("rep")).select("set", "rep.*"), "representatives")
     width = np.uint16 if bits <= 16 else np.uint32
 
     def keys_of(batches):
@@ -173,58 +192,70 @@ def near_components(rows: DataFrame, size: int, percent: int, places: int = PLAC
             own = np.repeat(batch.column(0).to_numpy(), keys.shape[1])
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(own)], ["bucket", "key"])
 
-    keys = reps.select("key", "sig").mapInArrow(keys_of, "bucket long, key long")
-    shared = keys.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket", F.expr(f"case when n <= {bucket} then 1L else (n + {bucket // 2 - 1}) div {bucket // 2} end").alias("blocks"))
-    members = _blocks(keys.join(shared, "bucket"), "blocks").join(reps.select("key", "sig"), "key")
+    # a bucket holds one key at most of each document, so it is a small share of all keys
+    each = reps.select("key", "sig").mapInArrow(keys_of, "bucket long, key long")
+    shared = saved(each.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).where("n > 1"), "buckets")
+    weight = shared.groupBy("key").agg(F.sum("n").alias("w"))
+    leader = F.first("key").over(Window.partitionBy("bucket").orderBy(F.col("w").desc(), "key").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    followers = saved(shared.join(weight, "key").select("bucket", "key", leader.alias("leader")).where("key <> leader"), "followers")
+    drop_path(spark, shared)
+
+    def within(u, v, off):
+        u, v = u.view(width), v.view(width).reshape(-1, places)
+        return (u != v).sum(axis=1) <= threshold
+
+    def similar(u, v, off):
+        u, v, bounds = u.view(np.uint64), v.view(np.uint64), off // 8
+        at = np.minimum(np.searchsorted(u, v), len(u) - 1)
+        both = np.add.reduceat((u[at] == v).astype(np.int64), bounds[:-1])
+        return 100 * both >= percent * (len(u) + np.diff(bounds) - both)
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Pairs of a saved table whose sets are similar."""
+        used = pairs.select(F.col("u").alias("key")).unionByName(pairs.select(F.col("v").alias("key"))).distinct()
+        sets = saved(_shingle_sets(rows.select("key", "text").join(used, "key", "left_semi"), size), "sets")
+        out = saved(meet(pairs, sets, similar, parts), "links")
+        for old in (sets, pairs):
+            drop_path(spark, old)
+        return out
+
+    led = followers.select(F.col("leader").alias("u"), F.col("key").alias("v")).distinct()
+    near = saved(meet(led, reps.select("key", F.col("sig").alias("data")), within, parts), "pairs")
+    links = linked(near)
+    found = saved(components(links), "components")
+    # followers of one bucket in different components have not met
+    of = followers.select("bucket", "key").join(found.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    of = saved(of, "followers-in")
+    mixed = of.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n")).where("a <> b")
+    mixed = mixed.select("bucket", F.expr(f"case when n <= {bucket} then 1L else (n + {bucket // 2 - 1}) div {bucket // 2} end").alias("blocks"))
+    left = of.join(mixed, "bucket").join(reps.select("key", "n_shingles", "sig"), "key")
+    order = ("bucket", "lo", "hi")
 
-    def link_buckets(batches):
-        out: list[tuple[int, int]] = []
-        for group in _groups(batches, ("bucket", "lo", "hi")):
-            ids = np.concatenate([b.column("key").to_numpy() for b in group])
+    def meet_in_buckets(batches):
+        out: set[tuple[int, int]] = set()
+        for group in _groups(batches, order):
+            ids, in_, n = (np.concatenate([b.column(c).to_numpy() for b in group]) for c in ("key", "component", "n_shingles"))
             sigs = np.concatenate([text_buffer(b.column("sig"))[0] for b in group]).view(width).reshape(len(ids), places)
-            out += [(int(ids[a]), int(ids[b])) for a, b in bucket_links(sigs, threshold)]
+            out.update((int(min(ids[a], ids[b])), int(max(ids[a], ids[b]))) for a, b in far_pairs(sigs, in_, n, threshold, percent))
             if len(out) > 50_000:
-                yield _pairs(list(set(out)))
-                out = []
+                yield _pairs(list(out))
+                out = set()
         if out:
-            yield _pairs(list(set(out)))
-
-    order = ("bucket", "lo", "hi")
-    links = members.select(*order, "key", "sig").repartition(parts, *order).sortWithinPartitions(*order).mapInArrow(link_buckets, "u long, v long")
-    clusters = saved(components(links).join(reps.select(F.col("key").alias("node"), "n_shingles"), "node").select(F.col("node").alias("key"), F.col("component").alias("cluster"), "n_shingles"), "clusters")
-    held = clusters.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / cluster), F.ceil(F.sum("n_shingles") / CLUSTER_SHINGLES)).alias("over"))
-    held = held.select("cluster", F.expr("case when over <= 1 then 1L else 2 * over end").alias("blocks"))
-    placed = clusters.join(held, "cluster").withColumn("whole", F.col("blocks") == 1)
-
-    def sets_of(batches):
-        for batch in batches:
-            data, off = text_buffer(batch.column(1))
-            sets = []
-            for a, b in slices(off, 1 << 20):
-                hashes, bounds = shingle_hashes(data[off[a] : off[b]], off[a : b + 1] - off[a], size)
-                sets += [np.unique(hashes[s:e]).tobytes() for s, e in zip(bounds[:-1], bounds[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["key", "shingles"])
-
-    in_cluster = rows.select("key", "text").join(clusters.select("key"), "key", "left_semi")
-    sets = in_cluster.select("key", "text").mapInArrow(sets_of, "key long, shingles binary")
-    dealt = _blocks(sets.join(placed, "key").select("cluster", "whole", "blocks", "key", "shingles"), "blocks")
-
-    def link_clusters(batches):
-        for group in _groups(batches, ("cluster", "lo", "hi")):
-            ids = np.concatenate([b.column("key").to_numpy() for b in group])
-            by = np.argsort(ids)  # the least key of a component is its root
-            data, off = text_buffer(pa.concat_arrays([b.column("shingles") for b in group]).take(pa.array(by)))
-            found = set_links(data.view(np.uint64), off // 8, percent)
-            if found:
-                ids = ids[by]
-                yield pa.RecordBatch.from_arrays([pa.array([group[0].column("whole")[0].as_py()] * len(found)), pa.array([int(ids[a]) for a, _ in found]), pa.array([int(ids[b]) for _, b in found])], ["whole", "u", "v"])
-
-    order = ("cluster", "lo", "hi")
-    links = saved(dealt.select(*order, "whole", "key", "shingles").repartition(parts, *order).sortWithinPartitions(*order).mapInArrow(link_clusters, "whole boolean, u long, v long"), "links")
-    found = components(links.select("u", "v"))
-    of_rep = reps.select("s1", "s2", F.col("n_shingles").alias("n"), F.col("key").alias("rep")).join(found.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component"))
-    same = [docs.s1 == of_rep.s1, docs.s2 == of_rep.s2, docs.n_shingles == of_rep.n]
-    return docs.join(of_rep, same, "left").select("key", "doc_id", "n_shingles", F.coalesce("component", "key").alias("component"))
+            yield _pairs(list(out))
+
+    dealt = _blocks(left, "blocks").select(*order, "key", "component", "n_shingles", "sig").repartition(parts, *order).sortWithinPartitions(*order)
+    more = saved(dealt.mapInArrow(meet_in_buckets, "u long, v long").distinct(), "pairs")
+    if more.limit(1).count():
+        more = linked(more)
+        if more.limit(1).count():
+            both = links.unionByName(more)
+            found = saved(components(both), "components")
+    for old in (followers, of):
+        drop_path(spark, old)
+    of_rep = reps.join(found.select(F.col("node").alias("key"), "component"), "key", "left").select("set", F.coalesce("component", "key").alias("component"))
+    columns = ("key", "doc_id", "n_shingles", "component")
+    alone = docs.where("n_shingles = 0").withColumn("component", F.col("key")).select(*columns)
+    return salted_join(some.select("set", "key", "doc_id", "n_shingles"), of_rep, "set", "key").select(*columns).unionByName(alone)
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, **options) -> DataFrame:
@@ -234,9 +265,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, **options
     shingle; a null text or one without words has none and stays alone. component_id is the smallest doc_id of
     the group, kept says that doc_id is component_id. Rows that share a doc_id are compared as
     documents of their own; null doc_ids come last and a group of them alone has a null id; an
-    empty table gives an empty result; other columns play no part.
+    empty table gives an empty result; other columns play no part. A pair at the threshold itself is
+    missed with a probability of MISS at most, one that is more similar with less.
     """
-    found = near_components(keyed(docs), size, percent, **options)
+    found = saved(near_components(keyed(docs), size, percent, **options), "near-groups")
     # the least key of a group is that of its least doc_id
-    ids = found.select(F.col("key").alias("component"), F.col("doc_id").alias("component_id"))
-    return found.join(ids.join(found.select("component").distinct(), "component", "left_semi"), "component").select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    ids = found.where("key = component").select("component", F.col("doc_id").alias("component_id"))
+    return salted_join(found, ids, "component", "key").select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
