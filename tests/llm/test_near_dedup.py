@@ -51,7 +51,7 @@ def got(df):
     return sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in df.collect()), key=str)
 
 
-@pytest.mark.parametrize("seed,options", [(1, {}), (2, {"bucket": 4}), (3, {"errors": 0}), (4, {"errors": 2})])
+@pytest.mark.parametrize("seed,options", [(1, {}), (2, {"bucket": 4, "cluster": 4}), (3, {"errors": 0}), (4, {"errors": 2})])
 def test_against_all_pairs(spark, seed, options):
     rows = corpus(seed, 200, 4)
     df = spark.createDataFrame([(t, d, 5, "x") for d, t in rows], "text string, doc_id long, key long, bucket string")
@@ -77,12 +77,37 @@ def test_all_pairs_within_the_distance_meet():
             assert (keys[0] == keys[1]).any()
 
 
-def test_far_pairs_are_those_within_the_threshold_and_sizes():
+def joined(n, links, group):
+    """Which rows links and groups join."""
+    sets = near_dedup.Sets(n)
+    for a, b in links:
+        sets.join(int(a), int(b))
+    return sets
+
+
+def test_bucket_links_join_all_pairs_within_the_threshold_and_sizes():
     r = np.random.default_rng(5)
-    sigs = r.integers(0, 3, (40, 30)).astype(np.uint16)
-    group, sizes = r.integers(0, 4, 40), r.integers(80, 120, 40)
-    want = {(i, j) for i in range(40) for j in range(i + 1, 40) if group[i] != group[j] and (sigs[i] != sigs[j]).sum() <= 18 and 100 * min(sizes[i], sizes[j]) >= 85 * max(sizes[i], sizes[j])}
-    assert set(near_dedup.far_pairs(sigs, group, sizes, 18, 85)) == want and len(want) > 5
+    for _ in range(20):
+        sigs = r.integers(0, 3, (40, 30)).astype(np.uint16)
+        group, sizes = r.integers(0, 4, 40), r.integers(80, 120, 40)
+        want = [(i, j) for i in range(40) for j in range(i + 1, 40) if group[i] != group[j] and (sigs[i] != sigs[j]).sum() <= 15 and 100 * min(sizes[i], sizes[j]) >= 85 * max(sizes[i], sizes[j])]
+        links = near_dedup.bucket_links(sigs, group, sizes, 15, 85)
+        mine = joined(40, links, group)
+        assert set(links) <= set(want) and all(mine.root(a) == mine.root(b) for a, b in want)
+
+
+def test_set_links_join_all_similar_sets_of_different_groups():
+    r = random.Random(7)
+    for _ in range(20):
+        base = [r.sample(range(60), 20) for _ in range(4)]
+        sets = [sorted(set(r.choice(base)) ^ set(r.sample(range(60), r.randrange(4)))) for _ in range(30)]
+        group = np.array([r.randrange(6) for _ in sets])
+        like = lambda a, b: 100 * len(set(a) & set(b)) >= 80 * len(set(a) | set(b))
+        want = [(i, j) for i in range(30) for j in range(i) if group[i] != group[j] and like(sets[i], sets[j])]
+        flat, off = np.array([x for s in sets for x in s], np.uint64), np.cumsum([0] + [len(s) for s in sets])
+        links = near_dedup.set_links(flat, off, group, 80)
+        mine = joined(30, links, group)
+        assert all(like(sets[a], sets[b]) for a, b in links) and all(mine.root(a) == mine.root(b) for a, b in want)
 
 
 def family(n, words, edits, seed):
@@ -116,14 +141,22 @@ def test_rows_dealt_grow_with_the_copies_and_not_with_their_pairs(spark, monkeyp
         compared.append(pairs.count())
         return meet(pairs, things, test, parts)
 
+    clustered = []
+    blocks = near_dedup._blocks
+
+    def dealt(df, count):
+        clustered.append(df.count())
+        return blocks(df, count)
+
     monkeypatch.setattr(near_dedup, "meet", counted)
+    monkeypatch.setattr(near_dedup, "_blocks", dealt)
     took = []
     for n in (500, 2000):
-        compared.clear()
+        compared.clear(), clustered.clear()
         rows = family(n, 150, 2, 9)
         got_ = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 3, 85).collect()
         assert {r.component_id for r in got_} == {0} and len(got_) == n
-        took.append(sum(compared))
+        took.append(sum(compared) + sum(clustered))
     assert took[1] < 6 * took[0] and took[1] < 40 * 2000
 
 

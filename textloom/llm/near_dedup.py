@@ -10,10 +10,12 @@ for each place, which its chunk leaves out), and all pairs within T share a key.
 2. Of each bucket (the representatives of a key) the member that meets most others leads; leader and
    members within T compare full shingle sets. So a family of near copies takes a comparison for each
    copy and not for each pair, and a page that all of them come from is found as their leader.
-3. Members of a bucket that are still in different components compare with each other, if within T.
+3. Members of a bucket that are within T and still in different components form clusters, with fewer
+   links than members; a cluster compares full sets through inverted lists.
 
-Components of the links are the groups. A leader with very many members is dealt to many tasks; so
-are buckets of very many members in different components, as pairs of blocks.
+Components of all links are the groups. A leader with very many members is dealt to many tasks.
+Buckets and clusters of very many members that no leader links are dealt out as pairs of blocks, as
+all their pairs have to be compared.
 """
 
 from __future__ import annotations
@@ -27,14 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_path, heavy, keyed, salted, salted_join, saved, slices, text_buffer
-from .components import components
+from .common import drop_path, heavy, keyed, ranges, salted, salted_join, saved, slices, text_buffer
+from .components import Sets, components
 from .minhash import shingle_hashes, signatures
 from .winnow import mix
 
 PLACES, BITS, MISS, ERRORS = 80, 16, 1e-6, 1
-#: Members of a bucket in different components that one task compares at most; half of it is a block.
-BUCKET = 2048
+#: Members of a bucket, documents of a cluster and its shingles that one task compares at most; half of it is a block.
+BUCKET, CLUSTER, CLUSTER_SHINGLES = 2048, 512, 500_000
 
 
 def distance_threshold(similarity: float, places: int = PLACES, miss: float = MISS) -> int:
@@ -64,16 +66,38 @@ def chunk_keys(sigs: np.ndarray, threshold: int, errors: int = 0) -> np.ndarray:
     return np.stack(out, axis=1).view(np.int64) if n else np.zeros((0, len(out)), np.int64)
 
 
-def far_pairs(sigs: np.ndarray, group: np.ndarray, sizes: np.ndarray, threshold: int, percent: int) -> list[tuple[int, int]]:
-    """Pairs of rows of different groups within threshold whose sets' sizes allow the similarity."""
-    out = []
+def bucket_links(sigs: np.ndarray, group: np.ndarray, sizes: np.ndarray, threshold: int, percent: int) -> list[tuple[int, int]]:
+    """Links among rows, fewer than rows, that join all pairs of different groups within threshold whose sets' sizes allow the similarity."""
+    sets, links = Sets(len(sigs)), []
     for i in range(len(sigs) - 1):
         rest = np.flatnonzero(group[i + 1 :] != group[i]) + i + 1
         a, b = np.minimum(sizes[rest], sizes[i]), np.maximum(sizes[rest], sizes[i])
         rest = rest[100 * a >= percent * b]
-        if len(rest):
-            out += [(i, int(j)) for j in rest[(sigs[rest] != sigs[i]).sum(axis=1) <= threshold]]
-    return out
+        for j in rest[(sigs[rest] != sigs[i]).sum(axis=1) <= threshold].tolist():
+            if sets.join(i, j):
+                links.append((i, j))
+    return links
+
+
+def set_links(shingles: np.ndarray, offsets: np.ndarray, group: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links that join all sets of different groups with 100 * intersection >= percent * union; sets are sorted and distinct."""
+    n, sizes = len(offsets) - 1, np.diff(offsets)
+    _, term = np.unique(shingles, return_inverse=True)
+    doc = np.repeat(np.arange(n), sizes)
+    order = np.argsort(term, kind="stable")
+    posting, bounds = doc[order], np.concatenate([[0], np.cumsum(np.bincount(term))])
+    sets, links = Sets(n), []
+    for i in range(n):
+        own = term[offsets[i] : offsets[i + 1]]
+        lengths = bounds[own + 1] - bounds[own]
+        own, lengths = own[lengths > 1], lengths[lengths > 1]
+        if 100 * len(own) < percent * sizes[i]:
+            continue  # too few of its shingles stand in any other
+        both = np.bincount(posting[ranges(bounds[own], lengths)], minlength=n)
+        for j in np.flatnonzero((100 * both >= percent * (sizes[i] + sizes - both)) & (group != group[i])).tolist():
+            if sets.join(i, j):
+                links.append((i, j))
+    return links
 
 
 def described(rows: DataFrame, size: int, places: int = PLACES, bits: int = BITS) -> DataFrame:
@@ -175,7 +199,7 @@ def meet(pairs: DataFrame, things: DataFrame, test, parts: int) -> DataFrame:
     return lead.unionByName(rest).repartition(parts, *order).sortWithinPartitions(*order, "kind", "v").mapInArrow(run, "u long, v long")
 
 
-def near_components(rows: DataFrame, size: int, percent: int, places: int = PLACES, bits: int = BITS, errors: int = ERRORS, bucket: int = BUCKET) -> DataFrame:
+def near_components(rows: DataFrame, size: int, percent: int, places: int = PLACES, bits: int = BITS, errors: int = ERRORS, bucket: int = BUCKET, cluster: int = CLUSTER) -> DataFrame:
     """(key, doc_id, n_shingles, component) of keyed documents; component is the least key linked, directly or not."""
     spark = rows.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -210,18 +234,11 @@ def near_components(rows: DataFrame, size: int, percent: int, places: int = PLAC
         both = np.add.reduceat((u[at] == v).astype(np.int64), bounds[:-1])
         return 100 * both >= percent * (len(u) + np.diff(bounds) - both)
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        """Pairs of a saved table whose sets are similar."""
-        used = pairs.select(F.col("u").alias("key")).unionByName(pairs.select(F.col("v").alias("key"))).distinct()
-        sets = saved(_shingle_sets(rows.select("key", "text").join(used, "key", "left_semi"), size), "sets")
-        out = saved(meet(pairs, sets, similar, parts), "links")
-        for old in (sets, pairs):
-            drop_path(spark, old)
-        return out
-
     led = followers.select(F.col("leader").alias("u"), F.col("key").alias("v")).distinct()
     near = saved(meet(led, reps.select("key", F.col("sig").alias("data")), within, parts), "pairs")
-    links = linked(near)
+    used = near.select(F.col("u").alias("key")).unionByName(near.select(F.col("v").alias("key"))).distinct()
+    sets_of_led = saved(_shingle_sets(rows.select("key", "text").join(used, "key", "left_semi"), size), "sets")
+    links = saved(meet(near, sets_of_led, similar, parts), "links")
     found = saved(components(links), "components")
     # followers of one bucket in different components have not met
     of = followers.select("bucket", "key").join(found.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
@@ -231,26 +248,40 @@ def near_components(rows: DataFrame, size: int, percent: int, places: int = PLAC
     left = of.join(mixed, "bucket").join(reps.select("key", "n_shingles", "sig"), "key")
     order = ("bucket", "lo", "hi")
 
-    def meet_in_buckets(batches):
+    def link_buckets(batches):
         out: set[tuple[int, int]] = set()
         for group in _groups(batches, order):
             ids, in_, n = (np.concatenate([b.column(c).to_numpy() for b in group]) for c in ("key", "component", "n_shingles"))
             sigs = np.concatenate([text_buffer(b.column("sig"))[0] for b in group]).view(width).reshape(len(ids), places)
-            out.update((int(min(ids[a], ids[b])), int(max(ids[a], ids[b]))) for a, b in far_pairs(sigs, in_, n, threshold, percent))
+            out.update((int(ids[a]), int(ids[b])) for a, b in bucket_links(sigs, in_, n, threshold, percent))
             if len(out) > 50_000:
                 yield _pairs(list(out))
                 out = set()
         if out:
             yield _pairs(list(out))
 
-    dealt = _blocks(left, "blocks").select(*order, "key", "component", "n_shingles", "sig").repartition(parts, *order).sortWithinPartitions(*order)
-    more = saved(dealt.mapInArrow(meet_in_buckets, "u long, v long").distinct(), "pairs")
+    dealt = _blocks(left, "blocks").select(*order, "key", "component", "n_shingles", "sig").repartition(parts, *order).sortWithinPartitions(*order, "key")
+    clusters = components(dealt.mapInArrow(link_buckets, "u long, v long"))
+    clusters = saved(clusters.select(F.col("node").alias("key"), F.col("component").alias("cluster")).join(reps.select("key", "n_shingles"), "key"), "clusters")
+    over = F.greatest(F.ceil(F.count("*") / cluster), F.ceil(F.sum("n_shingles") / CLUSTER_SHINGLES))
+    held = clusters.groupBy("cluster").agg(over.alias("over")).select("cluster", F.expr("case when over <= 1 then 1L else 2 * over end").alias("blocks"))
+    placed = salted_join(clusters.select("cluster", "key"), held, "cluster", "key").join(found.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    sets = _shingle_sets(rows.select("key", "text").join(clusters.select("key"), "key", "left_semi"), size)
+    dealt = _blocks(sets.join(placed, "key"), "blocks")
+    order = ("cluster", "lo", "hi")
+
+    def link_clusters(batches):
+        for group in _groups(batches, ("cluster", "lo", "hi")):
+            ids, in_ = (np.concatenate([b.column(c).to_numpy() for b in group]) for c in ("key", "component"))
+            data, off = text_buffer(pa.concat_arrays([b.column("data") for b in group]))
+            links = set_links(data.view(np.uint64), off // 8, in_, percent)
+            if links:
+                yield _pairs([(int(ids[a]), int(ids[b])) for a, b in links])
+
+    more = saved(dealt.select(*order, "key", "component", "data").repartition(parts, *order).sortWithinPartitions(*order, "key").mapInArrow(link_clusters, "u long, v long"), "links")
     if more.limit(1).count():
-        more = linked(more)
-        if more.limit(1).count():
-            both = links.unionByName(more)
-            found = saved(components(both), "components")
-    for old in (followers, of):
+        found = saved(components(links.unionByName(more)), "components")
+    for old in (followers, of, near, sets_of_led):
         drop_path(spark, old)
     of_rep = reps.join(found.select(F.col("node").alias("key"), "component"), "key", "left").select("set", F.coalesce("component", "key").alias("component"))
     columns = ("key", "doc_id", "n_shingles", "component")
