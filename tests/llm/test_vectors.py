@@ -42,6 +42,38 @@ def test_top_k_is_exact(spark, monkeypatch, seed, part, queries):
     assert sorted(tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()) == exact(rows, 20, 20)
 
 
+@pytest.mark.parametrize("noise", [0.1, 0.3])
+def test_bounds_keep_most_rows_of_clustered_vectors_away(spark, noise):
+    r = np.random.default_rng(1)
+    v = r.normal(size=(100, 64))[r.integers(0, 100, 8000)] + noise * r.normal(size=(8000, 64))
+    data = knn_join.vectors(spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>"), "vec_id", "embedding", 64)
+    said = []
+    got = knn_join.top_k(data, data.where("id % 5 = 0"), 10, told=said.append).collect()
+    assert said[0]["groups"] > 2 and said[0]["share"] < 0.5
+    whole = np.floor(64 * v).astype(np.int64)
+    for q in range(0, 8000, 400):
+        score = whole @ whole[q]
+        score[q] = -(2**62)
+        want = sorted(range(8000), key=lambda i: (-score[i], i))[:10]
+        assert [(g.vec_id, g.score) for g in sorted((g for g in got if g.query_id == q), key=lambda g: g["rank"])] == [(i, score[i]) for i in want]
+
+
+@pytest.mark.parametrize("scale", [1e-3, 1.0, 1e6, 1e200])
+def test_bounds_hold_for_any_magnitude(spark, scale):
+    rows = [(i, [scale * x for x in v]) for i, v in rows_of(200, 4, 8) if v]
+    rows = [(i, np.array(v, np.float64).tolist()) for i, v in rows]
+    data = knn_join.vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), "vec_id", "embedding", 64)
+    got = knn_join.top_k(data, data.where("id % 20 = 0"), 5, pivots=16).collect()
+    clamp = lambda x: max(-(2**63), min(2**63 - 1, x))
+    whole = {i: [math.floor(64 * x) for x in v] for i, v in rows}
+    want = []
+    for q in whole:
+        if q % 20 == 0:
+            near = sorted((-clamp(sum(x * y for x, y in zip(whole[q], w))), i) for i, w in whole.items() if i != q)[:5]
+            want += [(q, n, i, -s) for n, (s, i) in enumerate(near, 1)]
+    assert sorted(tuple(g) for g in got) == sorted(want)
+
+
 def test_few_or_no_rows(spark):
     rows = [(0, [0.1, 0.2]), (20, [0.3, -0.2]), (3, [1.0, 1.0])]
     data = knn_join.vectors(frame(spark, rows), "vec_id", "embedding", 64)
