@@ -129,7 +129,7 @@ def pivots_of(rows: DataFrame, n: int, most: int) -> dict[int, np.ndarray]:
     dims, out = sample.column("dim").to_numpy(), {}
     for d in np.unique(dims).tolist():
         v = matrix(sample.column("v").combine_chunks().take(pa.array(np.flatnonzero(dims == d))))
-        out[d] = centres_of(v, max(1, min(most, int(n**0.5))))
+        out[d] = centres_of(v, max(1, min(most, int(2 * n**0.5))))
     return {d: p for d, p in out.items() if len(p)}
 
 
