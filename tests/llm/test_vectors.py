@@ -109,6 +109,63 @@ def test_graph_search_recall(spark):
     assert hit >= 0.9 * total
 
 
+def test_routing_loses_nothing_and_keeps_shards_away(spark):
+    r = np.random.default_rng(3)
+    x = r.normal(size=(20, 16))[r.integers(0, 20, 6000)] * 8 + 0.3 * r.normal(size=(6000, 16))
+    data = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "id long, v array<double>")
+    index = neighbour_graph.build(data, shard=500)
+    shards = index.places.shards[16]
+    assert len(shards) >= 12 and {s for s, _ in shards} == {t.shard for t in index.nodes.select("shard").distinct().collect()}
+    where = {}
+    for t in index.nodes.collect():
+        where.update(dict.fromkeys(t.ids, t.shard))
+    q = x[:200]
+    far = np.sort(((q[:, None] - x[None]) ** 2).sum(axis=2), axis=1)[:, 10] ** 0.5
+    asked = {i: set() for i in range(200)}
+    for found in (index.places.home(16, q), index.places.others(16, q, far)):
+        for shard, at in found:
+            for i in at.tolist():
+                assert shard not in asked[i]
+                asked[i].add(shard)
+    for i in range(200):
+        d = ((x - x[i]) ** 2).sum(axis=1)
+        assert {where[j] for j in np.argsort(d)[:11].tolist()} <= asked[i]
+    assert sum(map(len, asked.values())) < 0.35 * 200 * len(shards)
+    got = neighbour_graph.search(index, data.where("id < 100"), 10).collect()
+    hits = sum(len({g.vec_id for g in got if g.query_id == i} & {j for j in np.argsort(((x - x[i]) ** 2).sum(axis=1))[:11].tolist() if j != i}) for i in range(100))
+    assert hits >= 0.95 * 1000
+
+
+def test_search_visits_few_of_25000_nodes():
+    r = np.random.default_rng(8)
+    v = (r.normal(size=(150, 64))[r.integers(0, 150, 25_000)] + 0.3 * r.normal(size=(25_000, 64))).astype(np.float32)
+    near = []
+    for a in range(0, len(v), 1000):
+        far = (v * v).sum(axis=1) - 2 * v[a : a + 1000] @ v.T
+        far[np.arange(len(far)), a + np.arange(len(far))] = np.inf
+        near.append(np.argpartition(far, 24, axis=1)[:, :24])
+    u, w = np.repeat(np.arange(len(v)), 24), np.concatenate(near).ravel()
+    both = np.unique(np.concatenate([u * len(v) + w, w * len(v) + u]))
+    links, bounds = (both % len(v)).astype(np.int32), np.searchsorted(both // len(v), np.arange(len(v) + 1))
+    entries = neighbour_graph.entry_nodes(links, bounds)
+    hits, visited = 0, []
+    for i in range(0, 25_000, 250):
+        q = v[i] + np.float32(0.1) * r.normal(size=64).astype(np.float32)  # no node of the graph
+        pool = neighbour_graph.greedy(v, links, bounds, q, entries, neighbour_graph.BEAM, neighbour_graph.STEP, visited)
+        hits += len(set(pool[:10].tolist()) & set(np.argsort(((v - q) ** 2).sum(axis=1))[:10].tolist()))
+    assert hits >= 0.9 * 1000 and np.mean(visited) < 0.2 * 25_000
+
+
+def test_vectors_far_from_the_origin_and_huge_ones(spark):
+    r = np.random.default_rng(5)
+    for x in (1e9 + r.normal(size=(400, 6)), 1e150 * r.normal(size=(400, 6))):
+        data = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "id long, v array<double>")
+        got = neighbour_graph.search(neighbour_graph.build(data, shard=300), data.where("id < 20"), 5).collect()
+        for i in range(20):
+            d = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
+            assert {g.vec_id for g in got if g.query_id == i} == {j for j in np.argsort(d)[:6].tolist() if j != i}
+
+
 def test_greedy_search_finds_the_nearest():
     r = np.random.default_rng(2)
     v = r.normal(size=(300, 5)).astype(np.float32)
