@@ -61,6 +61,24 @@ def test_records_of_odd_tables(spark, tmp_path):
     assert token_records.token_records(spark.createDataFrame([], "doc_id long, text string"), WORDS, str(tmp_path / "b")).collect() == []
 
 
+def test_records_in_many_files(spark, tmp_path, monkeypatch):
+    """Runs and files of a few frames, one frame longer than a run, and one document of over 4 MB."""
+    monkeypatch.setattr(token_records, "RUN_BYTES", 200)
+    monkeypatch.setattr(token_records, "RUNS", 2)
+    monkeypatch.setattr(token_records, "ROWS", 3)
+    texts = [t or "" for t in ODD] + some(60, 4) + ["long word " * 500_000]
+    docs = spark.createDataFrame([(i, t, "f", 0) for i, t in enumerate(texts)], "doc_id long, text string, file string, `off.set` int").repartition(3)
+    got = sorted(token_records.token_records(docs, WORDS, str(tmp_path / "r")).collect(), key=lambda r: r.doc_id)
+    assert len({r.file for r in got}) > 10
+    start = 0
+    for r, ids in zip(got, full(texts)):
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids) + 1, zlib.crc32(np.array([*ids, 1], "<u4").tobytes()))
+        start += r.n_tokens
+    index = spark.createDataFrame([r for r in got if r.doc_id % 7 == 0])
+    back = {r.doc_id: r.ids for r in token_records.read_ids(spark, str(tmp_path / "r/data"), index).collect()}
+    assert {d: x[:-1] for d, x in back.items()} == {i: x for i, x in enumerate(full(texts)) if i % 7 == 0}
+
+
 def test_damage_is_seen():
     data = token_records.frame(5, np.array([1, 2, 70_000])) + token_records.frame(None, np.array([], int))
     (_, n, a, x), (at, _, b, y) = token_records.frames(data)
@@ -102,7 +120,60 @@ def test_packing(spark, docs):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert packing.pack(packing.pieces(empty, WORDS)).collect() == []
     odd = spark.createDataFrame([(None, "a"), (1, "a"), (1, "a"), (None, None)], "doc_id long, text string")
-    assert sorted(r.offset for r in packing.pack(packing.pieces(odd, WORDS)).collect()) == [0, 1, 3, 5] or len(packing.pack(packing.pieces(odd, WORDS)).collect()) == 4
+    rows = packing.pack(packing.pieces(odd, WORDS)).collect()
+    assert sorted((r.offset, r.length) for r in rows) == [(0, 2), (2, 2), (4, 2), (6, 1)] and len({r.sequence_id for r in rows}) == 1
+
+
+def test_packing_of_long_documents(spark):
+    """Documents of one, two and very many pieces, one of over 4 MB."""
+    texts = ["word " * 4094, "word " * 4095, "word " * 4096, "word " * 9000, "longer word " * 400_000, None, "", "a"]
+    docs = spark.createDataFrame([(i * 3, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    found = packing.pieces(docs, WORDS).collect()
+    assert {d: sum(r.doc_id == 3 * d for r in found) for d in range(5)} == {0: 1, 1: 1, 2: 2, 3: 3, 4: 196}
+    n = checked(packing.pack(packing.pieces(docs, WORDS)).collect(), texts)
+    assert n <= -(-sum(r.length for r in found) // 4096) + 1
+
+
+def test_packing_keeps_other_columns(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK", 2)
+    names = "offset string, `a.b` int, salt int, rank int, block int, length long, doc_id long, piece int, `row` string, `from` int, sequence_id string"
+    rows = [("o", i, 1, 2, 3, 1 + i % 7, i // 2, i % 2, "r", 4, "s") for i in range(60)]
+    found = spark.createDataFrame(rows, names)
+    for limit in (10**6, 0):  # the plan by broadcast, and by shuffle
+        monkeypatch.setattr(packing, "BROADCAST_ROWS", limit)
+        packed = packing.pack(found, packing.Capacity(10))
+        assert packed.columns == ["a.b", "salt", "rank", "block", "length", "doc_id", "piece", "row", "from", "sequence_id", "offset"]
+        got = packed.collect()
+        assert sorted(r["a.b"] for r in got) == list(range(60)) and all(r.length == 1 + r["a.b"] % 7 for r in got)
+        held = defaultdict(list)
+        for r in got:
+            held[r.sequence_id].append((r.offset, r.length))
+        for own in held.values():
+            own.sort()
+            assert [o for o, _ in own] == [sum(n for _, n in own[:i]) for i in range(len(own))] and sum(n for _, n in own) <= 10
+    for length in (None, 0):
+        with pytest.raises(ValueError):
+            packing.pack(spark.createDataFrame([(1, 0, length)], "doc_id long, piece int, length long"))
+
+
+def test_weights_on_all_residuals_take_no_more_sequences():
+    r = random.Random(12)
+    for _ in range(5):
+        counts = defaultdict(int)
+        for _ in range(3000):
+            counts[min(4096, int(r.lognormvariate(6, 1.2)) + 1)] += 1
+        n = [max(seq + b - a for _, a, b, seq, _ in packing.plan(counts, packing.Capacity(4096, 4096, 4096**2, w))) for w in ((1.0, 0, 0), (1.0, 0.25, 0.25))]
+        assert n[1] <= n[0] + 1
+
+
+def test_sequences_of_ids(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(ODD)], "doc_id long, text string")
+    packed = packing.pack(packing.pieces(docs, WORDS, with_ids=True))
+    rows, whole = packed.collect(), {r.sequence_id: r.ids for r in packing.sequences(packed).collect()}
+    for r in rows:
+        assert whole[r.sequence_id][r.offset : r.offset + r.length] == np.frombuffer(r.ids, "<u4").tolist()
+    assert sum(map(len, whole.values())) == sum(r.length for r in rows)
+    assert packing.sequences(packed.limit(0)).collect() == []
 
 
 @pytest.mark.parametrize("capacity", [packing.Capacity(100), packing.Capacity(100, documents=4), packing.Capacity(100, attention=3000, weights=(1, 0.2, 0.5)), packing.Capacity(100, 5, 4000, (1, 0.3, 0.3), "dot")])
@@ -153,4 +224,4 @@ def test_byte_bpe(spark, docs, monkeypatch):
 def test_byte_bpe_of_long_runs(text):
     enc = library()
     ids = bytebpe.encode_text(enc, text)
-    assert enc.decode_bytes(ids) == text.encode() and (len(ids) > 0) == bool(text)
+    assert ids == enc.encode_ordinary(text) and enc.decode_bytes(ids) == text.encode()

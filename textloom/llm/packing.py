@@ -1,12 +1,13 @@
 """Vector best-fit packing of token pieces into sequences.
 
 Capacities are a vector: tokens, documents and attention cost (the sum of squared piece lengths) of
-a sequence. A piece's demand, (length, 1, length squared), depends on its length alone, so the packing is
-planned over the histogram of lengths, which has at most ``capacity`` rows for any corpus: pieces
-in decreasing length, each group of equal pieces into the open bins with room under every capacity
-that have the best score, else into new bins. Bins with the same residual vector are planned as
-one class. The plan maps ranges of ranks within a length to ranges of sequences, and pieces find
-their place by a join on length; no piece ever comes to the driver.
+a sequence. All three have a weight in the choice of a bin. A piece's demand, (length, 1, length squared),
+depends on its length alone, so the packing is planned over the histogram of lengths, which has at
+most ``capacity`` rows for any corpus: pieces in decreasing length, each group of equal pieces into
+the open bins with room under every capacity that have the best score, else into new bins. Bins with
+the same residual vector are planned as one class. The plan maps ranges of ranks within a length to
+ranges of sequences, and pieces find their place by a join on length and block of ranks; no piece
+ever comes to the driver.
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ from pyspark.sql import functions as F
 from .common import id_and_text, saved, slices, text_buffer
 from .wordbpe import SLICE, loaded
 
-#: Plan rows that may be broadcast (about 40 bytes each); a larger plan is joined by shuffle.
+#: Plan rows that may be broadcast (about 50 bytes each); a larger plan is joined by shuffle.
 BROADCAST_ROWS = 500_000
+#: Ranks of a length that meet the plan in one place.
+BLOCK = 1024
 
 
 @dataclass(frozen=True)
@@ -31,13 +34,15 @@ class Capacity:
     """Limits of a sequence, and the weights of their residuals in the score.
 
     rule "norm" takes the bins of least weighted residual norm after the piece is in; "dot" those of
-    greatest weighted dot product of residual and demand. None sets no limit.
+    greatest weighted dot product of residual and demand. Without a limit of documents or attention
+    cost, their capacity is what as many tokens can need at most: each piece has a token, and one
+    piece alone costs the square of all tokens.
     """
 
     tokens: int = 4096
     documents: int | None = None
     attention: int | None = None
-    weights: tuple[float, float, float] = (1.0, 0.0, 0.0)
+    weights: tuple[float, float, float] = (1.0, 0.25, 0.25)
     rule: str = "norm"
 
     def vector(self) -> np.ndarray:
@@ -150,37 +155,51 @@ def plan(counts: dict[int, int], capacity: Capacity = Capacity()) -> list[tuple[
 def pack(found: DataFrame, capacity: Capacity = Capacity(), order: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
     """Add sequence_id and offset to a table of pieces, which needs a column ``length`` and the order columns.
 
-    Other columns stay. Pieces of no length, or of null length, aren't allowed; an empty table gives
-    an empty result. Rows that tie in order take each other's places, never the same one.
+    Other columns stay, but for columns named sequence_id or offset, which the new ones replace. Pieces
+    of no length, or of null length, aren't allowed (ValueError), nor longer ones than a capacity; an empty table gives an empty result. Rows
+    that tie in order take each other's places, never the same one.
     """
     spark = found.sparkSession
+    stay = [c for c in found.columns if c.lower() not in ("sequence_id", "offset")]
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    rows = found.select(F.struct(*map(quoted, stay)).alias("row"), quoted("length").cast("long").alias("length"), *(quoted(c).alias(f"o{i}") for i, c in enumerate(order)))
+    order = tuple(f"o{i}" for i in range(len(order)))
     salts = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    salted = found.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
-    counts = saved(salted.groupBy("length", "_salt").agg(F.count("*").alias("_n")), "length-counts")
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # at most capacity.tokens rows
-    rows = plan(histogram, capacity)
-    if not rows:
-        return found.select("*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select("length", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    within = Window.partitionBy("length", "_salt").orderBy(*order)
-    ranked = salted.withColumn("_rank", F.row_number().over(within) - 1).join(bases, ["length", "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_base"))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
+    counts = saved(salted.groupBy("length", "salt").agg(F.count("*").alias("n")), "length-counts")
+    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity.tokens rows
+    if any(length is None or length < 1 for length in histogram):
+        raise ValueError("a piece has no length")
+    planned = plan(histogram, capacity)
+    columns = [F.col("row").getField(c).alias(c) for c in stay]
+    if not planned:
+        return rows.select(*columns, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    within = Window.partitionBy("length", "salt").orderBy(*order)
+    ranked = salted.withColumn("rank", F.row_number().over(within) - 1).join(bases, ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("base"))
     import pandas as pd
 
-    places = spark.createDataFrame(pd.DataFrame(rows, columns=["_length", "_from", "_to", "_sequence", "_offset"]), "_length long, _from long, _to long, _sequence long, _offset long")
-    if len(rows) <= BROADCAST_ROWS:
+    places = spark.createDataFrame(pd.DataFrame(planned, columns=["length", "from", "to", "sequence", "offset"]), "length long, from long, to long, sequence long, offset long")
+    places = places.withColumn("block", F.explode(F.expr(f"sequence(from div {BLOCK}, (to - 1) div {BLOCK})")))
+    if sum((to - 1) // BLOCK - first // BLOCK + 1 for _, first, to, _, _ in planned) <= BROADCAST_ROWS:
         places = F.broadcast(places)
-    at = (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))
-    return ranked.join(places, at).select(*found.columns, (F.col("_sequence") + F.col("_rank") - F.col("_from")).alias("sequence_id"), F.col("_offset").alias("offset"))
+    ranked = ranked.withColumn("block", F.expr(f"rank div {BLOCK}"))
+    at = (F.col("rank") >= F.col("from")) & (F.col("rank") < F.col("to"))
+    met = ranked.join(places, ["length", "block"]).where(at)
+    return met.select(*columns, (F.col("sequence") + F.col("rank") - F.col("from")).alias("sequence_id"), F.col("offset").alias("offset"))
 
 
 def sequences(packed: DataFrame) -> DataFrame:
-    """(sequence_id, ids array<int>) of packed pieces that carry ids; a group is one sequence."""
+    """(sequence_id, ids array<int>) of packed pieces that carry ids; a group is one sequence, of bounded length.
+
+    Pieces whose ids are null add none; an empty table gives an empty result; other columns play no part.
+    """
 
     def run(key, rows):
         import pandas as pd
 
-        ids = np.concatenate([np.frombuffer(x, "<u4") for x in rows.sort_values("offset")["ids"]]).astype(np.int32)
+        ids = np.concatenate([np.frombuffer(x, "<u4") for x in rows.sort_values("offset")["ids"] if x is not None] or [np.zeros(0, "<u4")]).astype(np.int32)
         return pd.DataFrame({"sequence_id": [key[0]], "ids": [ids]})
 
     return packed.select("sequence_id", "offset", "ids").groupBy("sequence_id").applyInPandas(run, "sequence_id long, ids array<int>")

@@ -24,9 +24,13 @@ def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pieces of at most 4096 ids, packed by vector best fit."""
+    """Pieces of at most 4096 ids, packed by vector best fit.
+
+    As sequences are to be as few as 4096 tokens allow, documents and attention cost have the capacity that as many
+    tokens can need; their residuals choose among the bins with room all the same.
+    """
     found = saved(packing.pieces(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json")), "pieces")
-    return packing.pack(found)
+    return packing.pack(found, packing.Capacity(tokens=4096, documents=4096, attention=4096**2, weights=(1.0, 0.25, 0.25)))
 
 
 def op3_voronoi_knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +49,7 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = secrets.scan(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda x: x["kind"] != "linked")
     n = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return got.select("doc_id", n("assign"), n("access"), n("hex"), n("linked"), F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
+    return got.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"), n("linked"))
 
 
 def op6_cotraining_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 ENDPOINT = re.compile(r"(?:https?|ftp|s3|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>]+")
 WEAK = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{16,}(?![A-Za-z0-9+/=_-])")
 # what a text with any match has, for a fast scan of all texts
-_MAY_ASSIGN, _MAY_HEX, _MAY_WEAK = r"(?i)(?:password|passwd|secret|token|api_?key)", r"[0-9a-f]{32}", r"[A-Za-z0-9+/=_-]{16}"
+_MAY_ASSIGN, _MAY_HEX = r"(?i)(?:password|passwd|secret|token|api_?key)", r"[0-9a-f]{32}"
 
 
 def entropy(text: str) -> float:
@@ -66,7 +66,7 @@ def other_parts(text: str, base: list[tuple[str, int, int]]) -> tuple[list[tuple
     for m in WEAK.finditer(text):
         while at < len(taken) and taken[at][1] <= m.start():
             at += 1
-        if not any(s < m.end() and m.start() < e for s, e in taken[at : at + 4]) and weak_secret(m[0]):
+        if not (at < len(taken) and taken[at][0] < m.end()) and weak_secret(m[0]):
             weak.append(m.span())
     return weak, complements
 

@@ -70,6 +70,8 @@ class WordBpe:
             split = pre[0]
             return (
                 norm == ["NFC", "Replace", "Lowercase"]
+                and spec["normalizer"]["normalizers"][1]["pattern"] == {"Regex": r"\s+"}
+                and spec["normalizer"]["normalizers"][1]["content"] == " "
                 and [x["type"] for x in pre] == ["Split", "ByteLevel"]
                 and split["behavior"] == "Removed"
                 and split["invert"]
