@@ -86,6 +86,60 @@ def test_words_against_brute_force(spark, seed, most):
     assert got(automata_dedup.dedup(df, most=most), WORDS) == sorted(plain_words(rows, 50))
 
 
+def hot_corpus(seed, n=90):
+    """A passage in very many documents, between words that are all different, or that some documents share."""
+    r = random.Random(seed)
+    own = lambda k: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(k))
+    passage, sides = own(70), [own(30) for _ in range(4)]
+    rows = []
+    for i in range(n):
+        left = r.choice(sides) if r.random() < 0.4 else own(30)
+        right = r.choice(sides) if r.random() < 0.4 else own(30)
+        middle = passage.split()[r.choice([0, 0, 0, 3]) :]
+        rows.append((i, " ".join([*left.split()[r.randrange(3) :], *middle, *right.split()])))
+    return rows + [(n, rows[5][1] + " " + rows[7][1]), (n + 1, passage + " " + passage)]
+
+
+@pytest.mark.parametrize("seed,most", [(5, 4), (6, 16)])
+def test_hot_passages_against_brute_force(spark, monkeypatch, seed, most):
+    rows = hot_corpus(seed)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    split, dealt = winnow.split, []
+
+    def counted(pieces, unit, width):
+        dealt.append((unit.kind, width, pieces.count()))
+        return split(pieces, unit, width)
+
+    monkeypatch.setattr(winnow, "split", counted)
+    assert got(suffix_dedup.dedup(df, most=most), BYTES) == sorted(plain_bytes(rows, 100))
+    assert got(automata_dedup.dedup(df, most=most), WORDS) == sorted(plain_words(rows, 50))
+    assert {(k, w) for k, w, n in dealt} == {(k, w) for k in ("bytes", "words") for w in winnow.WIDTHS} and all(n for _, w, n in dealt if w == winnow.WIDTHS[0])
+    monkeypatch.setattr(automata_dedup, "hot_first", lambda pieces, window: pieces.selectExpr("*", "cast(null as binary) as cuts"))
+    assert got(automata_dedup.dedup(df, most=most), WORDS) == sorted(plain_words(rows, 50))
+
+
+def test_hot_first_cuts_what_the_first_piece_holds(spark):
+    w = [f"w{i}" for i in range(80)]
+    other = ["x", "y", *w[2:60], "z", *w[61:]]
+    rows = [(9, 1, 10, 30, " ".join(w).encode()), (9, 4, 20, 30, " ".join(other).encode()), (9, 1, 300, 30, " ".join(w).encode()), (8, 5, 0, 3, b" ".join([b"q"] * 50))]
+    out = automata_dedup.hot_first(spark.createDataFrame(rows, "h long, key long, lo long, a long, piece binary"), most=1).collect()
+    cuts = [(r.key, list(memoryview(r.cuts).cast("I"))) for r in out if r.cuts]
+    left = sorted((r.h, r.key, r.lo, r.a, bytes(r.piece).decode()) for r in out if r.piece)
+    assert cuts == [(4, [22, 80])]  # windows 2 to 10: words 2 to 59
+    assert left == sorted([(8, 5, 0, 3, " ".join(["q"] * 50)), (9, 1, 10, 30, " ".join(w)), (9, 1, 300, 30, " ".join(w)), (9, 4, 20, 30, " ".join(other[:51])), (9, 4, 31, 19, " ".join(other[11:]))])
+
+
+def test_long_texts_and_clashing_columns(spark):
+    """Over 4 MB of words that are all different, and parts of it elsewhere."""
+    words = [f"{i * 2654435761 % 2**32:08x}" for i in range(520_000)]
+    long, part = " ".join(words), " ".join(words[300_000:330_000])
+    rows = [(2, "before " + part + " after", "p", "c", "b"), (1, long, "p", "c", "b"), (3, part, "p", "c", "b"), (4, None, "p", "c", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, piece string, cuts string, `n.b` string")
+    n = len(part)
+    assert [r[:4] for r in got(suffix_dedup.dedup(df), BYTES)] == [(1, len(long), 0, 0), (2, n + 13, n + 2, 1), (3, n, n, 1), (4, 0, 0, 0)]
+    assert [r[:3] for r in got(automata_dedup.dedup(df), WORDS)] == [(1, 520_000, 0), (2, 30_002, 30_000), (3, 30_000, 30_000), (4, 0, 0)]
+
+
 def test_repeated_and_null_ids(spark):
     text = "one two three four five six seven eight nine ten " * 6
     rows = [(None, text), (7, text), (7, text + "x"), (7, text), (1, "short")]

@@ -2,10 +2,11 @@
 
 A document is streamed through the automaton of what comes before it: each word's matching statistic is
 the length of the longest run of words ending there that the reference holds, and maximal spans of
-at least ``window`` words go. A bounded reference is cut into shards whose automata are broadcast
-(``against``). Where documents are each other's reference (``dedup``) that would send the corpus to
-every task, so ``winnow`` makes the shards: passages in which a window can be shared come
-together, and each shard's automaton lives in the task that streams its passages.
+at least ``window`` words go. Reference shards are passages that share an anchor (``winnow``). Where one is
+hot, as very many documents hold a passage, the first document's automaton is broadcast and all
+others stream past it wherever they are (``hot_first``); HOT shards of bounded size are. All shards together are as
+large as the corpus, which no broadcast may be, so each other shard's automaton is built in the one
+task that its passages are sent to. ``against`` broadcasts the automata of a bounded reference table.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import hashlib
 from collections.abc import Iterable, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,8 @@ from .winnow import MOST, Unit, cut_windows
 WINDOW, ANCHOR = 50, 12
 #: Words of a reference that may be broadcast in all, and of one shard.
 REFERENCE_WORDS, SHARD_WORDS = 2_000_000, 200_000
+#: Hot shards whose automaton is broadcast at most, each of one piece of less than twice a window.
+HOT = 2000
 
 
 class Automaton:
@@ -109,6 +113,43 @@ def solve(pieces: list[tuple[int, int, int, bytes]], window: int = WINDOW) -> li
     return out
 
 
+def hot_first(pieces: DataFrame, window: int = WINDOW, most: int = HOT) -> DataFrame:
+    """(h, key, lo, a, piece, cuts) of pieces of hot anchors: cuts of what the anchor's first piece holds too, by its broadcast automaton, and the pieces left.
+
+    Of the anchors with most pieces, ``most`` have theirs broadcast; pieces of others are left whole.
+    """
+    spark = pieces.sparkSession
+    of = pieces.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("key", "lo", "piece")).alias("first"))
+    reference = {r.h: (r.key, bytes(r.piece).split(b" ")) for r in of.orderBy(F.col("n").desc(), "h").limit(most).select("h", "first.key", "first.piece").collect()}
+    sent = spark.sparkContext.broadcast(reference)
+
+    def run(batches):
+        built: dict[int, Automaton] = {}
+        for batch in batches:
+            out: list[tuple] = []
+            for h, key, lo, a, piece in zip(*(c.to_pylist() for c in batch.columns)):
+                first, words = sent.value.get(h, (None, None))
+                if first is None or key <= first:
+                    out.append((h, key, lo, a, piece, None))
+                    continue
+                if h not in built:
+                    built[h] = Automaton()
+                    built[h].add(words)
+                own = piece.split(b" ")
+                held = np.asarray(built[h].statistics(own)[window - 1 :]) >= window  # windows that the reference has
+                edges = np.flatnonzero(np.diff(held.astype(np.int8), prepend=2, append=2))
+                for s, e in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                    if held[s]:
+                        out.append((h, key, None, None, None, np.array([lo + s, lo + e - 1 + window], "<u4").tobytes()))
+                    else:
+                        out.append((h, key, lo + s, a - s, b" ".join(own[s : e - 1 + window]), None))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
+
+    names, kinds = ["h", "key", "lo", "a", "piece", "cuts"], [*[pa.int64()] * 4, pa.binary(), pa.binary()]
+    return pieces.select(*names[:5]).mapInArrow(run, "h long, key long, lo long, a long, piece binary, cuts binary")
+
+
 def finish(words: list[bytes], cuts: np.ndarray) -> tuple[int, int, str]:
     kept, at = [], 0
     for s, e in cuts.tolist():
@@ -127,7 +168,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, most: int
     columns play no part.
     """
     unit = Unit("words", window, min(anchor, window - 1), earlier_document=True)
-    return cut_windows(docs, unit, lambda pieces: solve(pieces, window), finish, "n_words long, n_removed long, kept_sha256 string", most)
+    return cut_windows(docs, unit, lambda pieces: solve(pieces, window), finish, "n_words long, n_removed long, kept_sha256 string", most, lambda pieces: hot_first(pieces, window))
 
 
 def against(docs: DataFrame, reference: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -135,6 +176,8 @@ def against(docs: DataFrame, reference: DataFrame, window: int = WINDOW) -> Data
 
     The reference (doc_id, text) may have REFERENCE_WORDS words, or ValueError is raised: its size is
     counted before it is fetched. Shards of whole texts get an automaton each, built once in a worker.
+    A null text has no words and no spans; null doc_ids and repeated rows stay; an empty reference
+    gives no spans, an empty table no rows; other columns play no part.
     """
     spark = docs.sparkSession
     texts = id_and_text(reference).select("text")
@@ -153,8 +196,6 @@ def against(docs: DataFrame, reference: DataFrame, window: int = WINDOW) -> Data
     sent = spark.sparkContext.broadcast(shards)
 
     def run(batches):
-        import pyarrow as pa
-
         built = []
         for shard in sent.value:
             built.append(Automaton())
@@ -165,7 +206,7 @@ def against(docs: DataFrame, reference: DataFrame, window: int = WINDOW) -> Data
             for text in batch.column(1).to_pylist():
                 words = text.encode().split()
                 counts.append(len(words))
-                found.append(merged(np.concatenate([spans(a.statistics(words), window) for a in built])).tolist())
+                found.append(merged(np.concatenate([np.zeros((0, 2), np.int64), *(spans(a.statistics(words), window) for a in built)])).tolist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(found, pa.list_(pa.list_(pa.int64())))], ["doc_id", "n_words", "spans"])
 
     return id_and_text(docs).mapInArrow(run, "doc_id long, n_words long, spans array<array<long>>")

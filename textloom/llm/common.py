@@ -179,3 +179,13 @@ def salted_join(many: DataFrame, one: DataFrame, key: str, by: str, each: int =
     copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)).alias("_salt")
     sent = one.join(F.broadcast(hot), key, "left").select(*one.columns, copies)
     return salted(many, key, hot, by).join(sent, [key, "_salt"]).drop("_salt")
+
+
+#: Keys that are broadcast at most (about 32 bytes each in an executor).
+BROADCAST_KEYS = 2_000_000
+
+
+def only(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows whose key is in a saved table of keys: by broadcast of the keys while they are few, so that texts aren't shuffled, else by shuffle."""
+    keys = keys.select("key")
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, "key", "left_semi")

@@ -29,14 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_path, heavy, keyed, ranges, salted, salted_join, saved, slices, text_buffer
+from .common import drop_path, heavy, keyed, only, ranges, salted, salted_join, saved, slices, text_buffer
 from .components import Sets, components
 from .minhash import shingle_hashes, signatures
 from .winnow import mix
 
 PLACES, BITS, MISS, ERRORS = 80, 16, 1e-6, 1
 #: Members of a bucket, documents of a cluster and its shingles that one task compares at most; half of it is a block.
-BUCKET, CLUSTER, CLUSTER_SHINGLES = 2048, 512, 500_000
+BUCKET, CLUSTER, CLUSTER_SHINGLES = 2048, 256, 500_000
 
 
 def distance_threshold(similarity: float, places: int = PLACES, miss: float = MISS) -> int:
@@ -236,8 +236,8 @@ def near_components(rows: DataFrame, size: int, percent: int, places: int = PLAC
 
     led = followers.select(F.col("leader").alias("u"), F.col("key").alias("v")).distinct()
     near = saved(meet(led, reps.select("key", F.col("sig").alias("data")), within, parts), "pairs")
-    used = near.select(F.col("u").alias("key")).unionByName(near.select(F.col("v").alias("key"))).distinct()
-    sets_of_led = saved(_shingle_sets(rows.select("key", "text").join(used, "key", "left_semi"), size), "sets")
+    used = saved(near.select(F.col("u").alias("key")).unionByName(near.select(F.col("v").alias("key"))).distinct(), "met")
+    sets_of_led = saved(_shingle_sets(only(rows, used), size), "sets")
     links = saved(meet(near, sets_of_led, similar, parts), "links")
     found = saved(components(links), "components")
     # followers of one bucket in different components have not met
@@ -266,7 +266,7 @@ def near_components(rows: DataFrame, size: int, percent: int, places: int = PLAC
     over = F.greatest(F.ceil(F.count("*") / cluster), F.ceil(F.sum("n_shingles") / CLUSTER_SHINGLES))
     held = clusters.groupBy("cluster").agg(over.alias("over")).select("cluster", F.expr("case when over <= 1 then 1L else 2 * over end").alias("blocks"))
     placed = salted_join(clusters.select("cluster", "key"), held, "cluster", "key").join(found.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    sets = _shingle_sets(rows.select("key", "text").join(clusters.select("key"), "key", "left_semi"), size)
+    sets = _shingle_sets(only(rows, clusters.select("key")), size)
     dealt = _blocks(sets.join(placed, "key"), "blocks")
     order = ("cluster", "lo", "hi")
 
@@ -281,7 +281,7 @@ def near_components(rows: DataFrame, size: int, percent: int, places: int = PLAC
     more = saved(dealt.select(*order, "key", "component", "data").repartition(parts, *order).sortWithinPartitions(*order, "key").mapInArrow(link_clusters, "u long, v long"), "links")
     if more.limit(1).count():
         found = saved(components(links.unionByName(more)), "components")
-    for old in (followers, of, near, sets_of_led):
+    for old in (followers, of, near, used, sets_of_led):
         drop_path(spark, old)
     of_rep = reps.join(found.select(F.col("node").alias("key"), "component"), "key", "left").select("set", F.coalesce("component", "key").alias("component"))
     columns = ("key", "doc_id", "n_shingles", "component")

@@ -10,16 +10,20 @@ Steps, for documents with unique ordered keys:
 
 1. Each batch finds its pieces and sends (anchor hash, piece hash, key, place) to the anchor's bucket
    in packed arrays; of pieces that are equal within the batch only the first is compared further.
-2. A bucket sorts them. A piece that equals an earlier one is cut whole. Where an anchor has several
-   different pieces, the first of each is asked for.
+2. Buckets are sorted one after another in their tasks. A piece that equals an earlier one (by both
+   64-bit hashes) is cut whole. Where an anchor has several different pieces, the first of each is asked for.
 3. Documents meet what was found for them; those asked for give the symbols of their pieces.
 4. Pieces of one anchor meet again and a solver (suffix array, suffix automaton) finds windows that
-   they share. An anchor with more than MOST pieces (the edge of a passage that very many documents
-   hold) goes by window hashes through a partly pre-aggregated group-by instead.
+   they share.
+5. An anchor with more than MOST different pieces (the edge of a passage that very many documents hold) is
+   split by what stands around it: windows with the anchor at about the same offset, and with equal
+   symbols in all that such windows have in common, make a part. Parts of at most MOST different pieces
+   go to the solver, others are split finer, down to single windows; equal pieces are cut on the way, by their symbols.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,10 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_array, keyed, merged, ranges, saved, slices, text_buffer
+from .common import binary_array, keyed, merged, ranges, salted_join, saved, slices, text_buffer
 
-#: Different pieces of one anchor that are solved in one task at most.
-MOST = 4096
+#: Different pieces of one anchor that are solved together at most, and offsets of the anchor that a part of more has, coarse to fine.
+MOST, WIDTHS = 512, (16, 4, 1)
+#: Buckets of a task, each sorted on its own.
+BUCKETS = 16
 _rng = np.random.default_rng(20240607)
 TABLE = _rng.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -209,12 +215,22 @@ def find(docs: DataFrame, unit: Unit, buckets: int) -> DataFrame:
 
 def matched(found: DataFrame, unit: Unit, buckets: int, most: int) -> DataFrame:
     """(key, cuts, needs): ranges to cut, and pieces asked for, of each document that has any."""
-    need_type = np.dtype([("h", "<u8"), ("lo", "<u4"), ("n", "<u2"), ("big", "u1")])
+    need_type = _NEED
 
     def run(batches):
-        parts = [_unpacked(x.as_buffer()) for batch in batches for x in batch.column(1)]
-        if not parts:
-            return
+        held, last = [], None
+        for batch in batches:
+            for bucket, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if held and bucket != last:
+                    yield from one(held)
+                    held = []
+                held.append(data.as_buffer())
+                last = bucket
+        if held:
+            yield from one(held)
+
+    def one(blobs):
+        parts = [_unpacked(x) for x in blobs]
         cols = {c: np.concatenate([p[c] for p in parts]) for c, _ in _COLUMNS}
         del parts
         sent = cols["cut"].astype(bool)
@@ -229,7 +245,7 @@ def matched(found: DataFrame, unit: Unit, buckets: int, most: int) -> DataFrame:
         want = (kinds > 1) & ~cut
         held = np.bincount(group, want)[group] if len(h) else np.zeros(0)
         needs = np.zeros(int(want.sum()), need_type)
-        needs["h"], needs["lo"], needs["n"], needs["big"] = h[want], live["lo"][want], live["n"][want], held[want] > most
+        needs["h"], needs["lo"], needs["n"], needs["a"], needs["big"] = h[want], live["lo"][want], live["n"][want], live["a"][want], held[want] > most
         start = np.concatenate([cols["lo"][sent], live["lo"][cut]]).astype(np.uint32)
         end = start + np.concatenate([cols["n"][sent], live["n"][cut]]) + np.uint32(unit.length - 1)
         cut_key, need_key = np.concatenate([cols["key"][sent], live["key"][cut]]), live["key"][want]
@@ -246,28 +262,31 @@ def matched(found: DataFrame, unit: Unit, buckets: int, most: int) -> DataFrame:
                 cells.append(binary_array(data.tobytes()[bounds[0] : bounds[-1]], bounds - bounds[0]))
             yield pa.RecordBatch.from_arrays([pa.array(keys[s:e], pa.int64()), *cells], ["key", "cuts", "needs"])
 
-    return found.repartition(buckets, "bucket").mapInArrow(run, "key long, cuts binary, needs binary")
+    tasks = max(1, buckets // BUCKETS)
+    return found.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "key long, cuts binary, needs binary")
 
 
-_NEED = np.dtype([("h", "<u8"), ("lo", "<u4"), ("n", "<u2"), ("big", "u1")])
+_NEED = np.dtype([("h", "<u8"), ("lo", "<u4"), ("n", "<u2"), ("a", "u1"), ("big", "u1")])
 
 
 def as_cuts(parts: list[bytes] | None) -> np.ndarray:
     return merged(np.frombuffer(b"".join(parts), "<u4").reshape(-1, 2)) if parts else np.zeros((0, 2), np.int64)
 
 
-def cut_windows(docs: DataFrame, unit: Unit, solve: Callable, finish: Callable, columns: str, most: int = MOST) -> DataFrame:
+def cut_windows(docs: DataFrame, unit: Unit, solve: Callable, finish: Callable, columns: str, most: int = MOST, ahead: Callable | None = None) -> DataFrame:
     """Cut every window that occurs earlier, and give finish(sequence, cuts) for each document (columns, beside doc_id).
 
-    solve(list of (key, lo, piece)) gives (key, start, end) to cut, for the pieces of whole anchors.
+    solve(list of (anchor, key, lo, piece)) gives (key, start, end) to cut, for the pieces of whole anchors. ahead, if given,
+    takes the table of pieces of large anchors first and gives (key, cuts, rest): what it cuts, and the pieces left to compare.
     """
     spark = docs.sparkSession
     rows = keyed(docs)
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = tasks * BUCKETS
     found = matched(find(rows, unit, buckets), unit, buckets, most)
     by_key = found.groupBy("key").agg(F.collect_list("cuts").alias("cuts"), F.collect_list("needs").alias("needs"))
     names = [c.split()[0] for c in columns.split(", ")]
-    schema = "key long, doc_id long, text string, cuts binary, h long, lo long, big boolean, piece binary, " + columns
+    schema = "key long, doc_id long, text string, cuts binary, h long, lo long, a long, big boolean, piece binary, " + columns
 
     def first(batches):
         for batch in batches:
@@ -286,14 +305,25 @@ def cut_windows(docs: DataFrame, unit: Unit, solve: Callable, finish: Callable,
                     put(key=key, doc_id=doc_id, **dict(zip(names, finish(seq, cuts))))
                     continue
                 put(key=key, doc_id=doc_id, text=text.as_py(), cuts=cuts.astype("<u4").tobytes())
-                for h, lo, n, big in needs.tolist():
-                    put(key=key, h=h - (1 << 64) if h >> 63 else h, lo=lo, big=bool(big), piece=unit.joined(seq[lo : lo + n + unit.length - 1]))
+                for h, lo, n, a, big in needs.tolist():
+                    put(key=key, h=h - (1 << 64) if h >> 63 else h, lo=lo, a=a, big=bool(big), piece=unit.joined(seq[lo : lo + n + unit.length - 1]))
             yield pa.RecordBatch.from_pydict(out, schema=arrow)
 
     arrow = _arrow(schema)
     stage = saved(rows.join(by_key, "key", "left").select("key", "doc_id", "text", "cuts", "needs").mapInArrow(first, schema), "windows")
     done = stage.where("piece is null and text is null").select("doc_id", *names)
-    pieces = stage.where("piece is not null").select("h", "key", "lo", "big", "piece")
+    pieces = stage.where("piece is not null").select("h", "key", "lo", "a", "big", "piece")
+    small, cuts = pieces.where("not big").drop("big"), []
+    large = pieces.where("big").drop("big")
+    if large.limit(1).count():
+        if ahead:
+            large = saved(ahead(large), "ahead")
+            cuts.append(large.where("cuts is not null").select("key", "cuts"))
+            large = large.where("piece is not null").drop("cuts")
+        for width in WIDTHS:
+            cut, parts = split(large, unit, width)
+            cuts.append(cut)
+            small, large = small.unionByName(parts.where(F.col("n") <= most).drop("n")), parts.where(F.col("n") > most).drop("n")
 
     def solved(batches):
         for group in whole_groups(batches, 0, 1 << 20):
@@ -302,8 +332,10 @@ def cut_windows(docs: DataFrame, unit: Unit, solve: Callable, finish: Callable,
                 keys, starts, ends = zip(*got)
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([np.array(x, "<u4").tobytes() for x in zip(starts, ends)], pa.binary())], ["key", "cuts"])
 
-    near = pieces.where("not big").repartition(buckets, "h").sortWithinPartitions("h", "key", "lo").select("h", "key", "lo", "piece").mapInArrow(solved, "key long, cuts binary")
-    extra = near.unionByName(wide(pieces.where("big"), unit)).groupBy("key").agg(F.collect_list("cuts").alias("more"))
+    near = small.select("h", "key", "lo", "piece").repartition(tasks, "h").sortWithinPartitions("h", "key", "lo").mapInArrow(solved, "key long, cuts binary")
+    for cut in cuts:
+        near = near.unionByName(cut)
+    extra = near.groupBy("key").agg(F.collect_list("cuts").alias("more"))
 
     def last(batches):
         for batch in batches:
@@ -342,26 +374,51 @@ def whole_groups(batches, column: int, most: int) -> Iterator[dict[str, list]]:
         yield held
 
 
-def wide(pieces: DataFrame, unit: Unit) -> DataFrame:
-    """(key, cuts) of anchors with very many pieces: equal windows meet by two 64-bit hashes, pre-aggregated before the shuffle."""
+def _ranges_of(key: str, start, end) -> list:
+    """Columns (key, cuts) of one range each; four bytes a number, least first."""
+    digits = lambda c: F.lpad(F.hex(c), 8, "0")
+    le = lambda c: F.unhex(F.concat(*(F.substring(digits(c), at, 2) for at in (7, 5, 3, 1))))
+    return [F.col(key).alias("key"), F.concat(le(start), le(end)).alias("cuts")]
+
+
+def split(pieces: DataFrame, unit: Unit, width: int) -> tuple[DataFrame, DataFrame]:
+    """Pieces (h, key, lo, a, piece) of large anchors in parts: (key, cuts) of parts' pieces that equal an earlier one, and the first of each with n, the different pieces of its part.
 
-    def windows(batches):
+    The anchor stands a symbols behind a piece's start, so it is at offset a - i of window i. Windows
+    whose offsets fall in one range of ``width`` all hold the same symbols around the anchor, the core, if they
+    are equal; a part's name is the hash of anchor, range and core. Cores of width 1 are whole windows.
+    """
+
+    def parts(batches):
         for batch in batches:
-            for h, key, lo, piece in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            out: list[tuple] = []
+            for h, key, lo, a, piece in zip(*(c.to_pylist() for c in batch.columns)):
                 seq = unit.sequence(piece)
-                data = np.frombuffer(piece, np.uint8)
-                symbols, _ = unit.symbols(data, np.array([0, len(data)]))
-                sums, at = prefix(symbols), np.arange(len(seq) - unit.length + 1)
-                w = range_hash(sums, at, at + unit.length)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), h), pa.int64()), pa.array(mix(w).view(np.int64)), pa.array(np.full(len(at), key), pa.int64()), pa.array(at + lo, pa.int64())], ["h", "w", "key", "start"])
-
-    each = pieces.select("h", "key", "lo", "piece").mapInArrow(windows, "h long, w long, key long, start long")
-    first = each.groupBy("h", "w").agg(F.min(F.struct("key", "start")).alias("first"))
-    later = F.col("key") > F.col("first.key") if unit.earlier_document else (F.struct("key", "start") > F.col("first"))
-    hit = each.join(first, ["h", "w"]).where(later)
-    digits = lambda c: F.lpad(F.hex(c), 8, "0")
-    le = lambda c: F.unhex(F.concat(*(F.substring(digits(c), at, 2) for at in (7, 5, 3, 1))))  # noqa: E731  four bytes, least first
-    return hit.select("key", F.concat(le(F.col("start")), le(F.col("start") + unit.length)).alias("cuts"))
+                n = len(seq) - unit.length + 1
+                for j in range(max(0, a - n + 1) // width, a // width + 1):
+                    first, last = max(0, a - (j + 1) * width + 1), min(n - 1, a - j * width)
+                    if first > last:
+                        continue
+                    core = unit.joined(seq[a - j * width : a - (j + 1) * width + 1 + unit.length])
+                    name = hashlib.blake2b(h.to_bytes(8, "little", signed=True) + bytes([width, j]) + core, digest_size=8).digest()
+                    own = unit.joined(seq[first : last + unit.length])
+                    out.append((name + own, key, lo + first, a - first, len(own) if unit.kind == "bytes" else last + unit.length - first))
+                if len(out) >= 20_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
+                    out = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
+
+    names, kinds = ["id", "key", "lo", "a", "size"], [pa.binary(), *[pa.int64()] * 4]
+    rows = saved(pieces.select("h", "key", "lo", "a", "piece").mapInArrow(parts, "id binary, key long, lo long, a long, size long"), "parts")
+    first = saved(rows.groupBy("id").agg(F.min(F.struct("key", "lo", "a")).alias("first")), "firsts")
+    met = salted_join(rows.select("id", "key", "lo", "size"), first, "id", "lo")
+    later = F.col("key") > F.col("first.key") if unit.earlier_document else F.struct("key", "lo") > F.struct("first.key", "first.lo")
+    cut = met.where(later).select(*_ranges_of("key", F.col("lo"), F.col("lo") + F.col("size")))
+    number = F.conv(F.hex(F.expr("substring(id, 1, 8)")), 16, -10).cast("long")
+    kept = first.select(number.alias("h"), "first.key", "first.lo", "first.a", F.expr("substring(id, 9)").alias("piece"))
+    sizes = kept.groupBy("h").agg(F.count("*").alias("n"))
+    return cut, saved(salted_join(kept, sizes, "h", "lo"), "split")
 
 
 def spread(cuts: np.ndarray) -> np.ndarray:
