@@ -143,7 +143,7 @@ def merged(cuts: np.ndarray) -> np.ndarray:
 
 def keyed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(key, row struct, text): key is unique and ordered as doc_id, as in ``keyed``; row holds all columns but text, clear of other names."""
-    others = [F.col(f"`{c}`") for c in docs.columns if c.lower() != text_col.lower()]
+    others = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns if c.lower() != text_col.lower()]
     rows = docs.select(F.col(id_col).cast("long").alias("key"), F.struct(*others).alias("row"), F.col(text_col).cast("string").alias("text"))
     odd = rows.groupBy("key").count().where("key is null or count > 1").limit(1).count()
     if not odd:
@@ -185,7 +185,7 @@ def salted_join(many: DataFrame, one: DataFrame, key: str, by: str, each: int =
 BROADCAST_KEYS = 2_000_000
 
 
-def only(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rows whose key is in a saved table of keys: by broadcast of the keys while they are few, so that texts aren't shuffled, else by shuffle."""
+def only(rows: DataFrame, keys: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows whose key is in a saved table of keys (left_anti: is not): by broadcast of the keys while they are few, so that texts aren't shuffled, else by shuffle."""
     keys = keys.select("key")
-    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, "key", "left_semi")
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, "key", how)

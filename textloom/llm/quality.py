@@ -1,11 +1,11 @@
 """Quality classifier by co-training of two views of a document.
 
-The text view is hashed words, word pairs and ends of words; the page view is what is known without reading: language, source,
-length, and the shares and layout of characters and lines. Each view has a logistic model, fitted on
-a bounded sample of labelled rows. In each round both models score every unlabelled document, in
-Spark; those of all of them that a model is most sure of, by class, go to the other with its label,
-and the other learns from them. Both are then calibrated (Platt) on held-out labels, and their log
-odds, weighted by how well they do there, score every document.
+The text view is hashed words, word pairs and ends of words; the page view is metadata alone: language,
+source and number of characters, as the table has them. So the views share no evidence. Each view has
+a logistic model, fitted on a bounded sample of labelled rows. In each round both models score every
+unlabelled document, in Spark; those of all of them that a model is most sure of, by class, go to the
+other with its label, and the other learns from them. Both are then calibrated (Platt) on held-out
+labels, and their log odds, weighted by how much they tell there, score every document.
 """
 
 from __future__ import annotations
@@ -15,19 +15,22 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import arrow_bounds, drop_path, saved, slices, text_buffer
 from .minhash import LOWER
 from .winnow import mix, word_hashes, words_of
 
-#: Bound of the labelled sample, in documents; unlabelled documents have none.
-LABELLED = 5000
+#: Bounds of the labelled sample, in documents and in bytes of their features; unlabelled documents have none.
+LABELLED, FIT_BYTES = 5000, 24 << 20
 #: Hashed features of the text view, rounds, and documents that a model hands over in a round, in the classes' known proportion.
 FEATURES, ROUNDS, SHARE = 1 << 16, 3, 250  # features travel as 16 bits
 #: Log odds from which a model is sure of a document.
-SURE = 2.0
+SURE = 3.0
+#: Probability of good quality from which a document is kept.
+THRESHOLD = 0.4
 _PAIR, _NEXT = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -50,35 +53,22 @@ def text_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     return np.concatenate(feats or none), np.concatenate(weights or none).astype(float), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
 
-PAGE = 64
+#: Features of the page view: bias, unknown length, length, and hashed places for length classes, languages, sources and pairs of them.
+PAGE = 256
 
 
-def page_features(data: np.ndarray, offsets: np.ndarray, lang: list, source: list) -> np.ndarray:
-    """Dense features of each document's page: metadata and layout, no words."""
-    n = len(offsets) - 1
-    out = np.zeros((n, PAGE))
+def page_features(lang: list, source: list, n_chars: list) -> np.ndarray:
+    """Dense features of each document's metadata; any of it may be null. The text plays no part."""
+    out = np.zeros((len(lang), PAGE))
     out[:, 0] = 1
-    size = np.diff(offsets).astype(float)
-    kinds = [
-        (data >= 65) & (data <= 90),
-        (data >= 97) & (data <= 122),
-        (data >= 48) & (data <= 57),
-        data >= 128,
-        (data == 32) | ((data >= 9) & (data <= 13)),
-        (data == 10),
-        (data == 33) | (data == 63),
-        (data == 44) | (data == 46),
-        (data == 124) | (data == 60) | (data == 62) | (data == 123) | (data == 125),
-        (data == 35) | (data == 36) | (data == 37) | (data == 38) | (data == 42),
-    ]
-    for i, k in enumerate(kinds):
-        sums = np.concatenate([[0], np.cumsum(k)])
-        out[:, 1 + i] = np.minimum(3, 4 * (sums[offsets[1:]] - sums[offsets[:-1]]) / np.maximum(size, 1))
-    out[:, 12] = np.log1p(size) / 10
-    out[:, 13] = size == 0
-    for i, (a, b) in enumerate(zip(lang, source)):
-        out[i, 16 + hash_of(a) % 16] += 0.3
-        out[i, 32 + hash_of(b) % 32] += 0.3
+    for i, (a, b, n) in enumerate(zip(lang, source, n_chars)):
+        size = -1 if n is None else min(15, int(math.log2(max(0, n) + 1)))
+        out[i, 1], out[i, 2] = n is None, 0 if n is None else math.log1p(max(0, n)) / 10
+        out[i, 3 + size + 1] += 0.5
+        out[i, 32 + hash_of(a) % 32] += 0.5
+        out[i, 64 + hash_of(b) % 64] += 0.5
+        out[i, 128 + hash_of((a, size)) % 64] += 0.5
+        out[i, 192 + hash_of((a, b)) % 64] += 0.5
     return out
 
 
@@ -227,31 +217,34 @@ def cotrain(text: Sparse, page: Dense, label: np.ndarray, rounds: int = ROUNDS,
     zs = [x.dot(m)[held] for x, m in zip((text, page), models)]
     scales = tuple(_platt(z, label[held]) for z in zs)
     loss = [-np.log(np.clip(np.where(label[held] == 1, p, 1 - p), 1e-6, 1)).mean() for p in (sigmoid(a * z + b) for z, (a, b) in zip(zs, scales))]
-    sure = np.array([1 / (x + 0.01) for x in loss])
-    return Model(models[0], models[1], scales, tuple((sure / sure.sum() * 1.0).tolist()))
+    # a view that does no better than the share of each class tells nothing
+    none = -np.log(np.where(label[held] == 1, label[held].mean(), 1 - label[held].mean())).mean()
+    sure = np.array([max(none - x, 0) / (x + 0.01) for x in loss]) + 1e-6
+    return Model(models[0], models[1], scales, tuple((sure / sure.sum()).tolist()))
 
 
-_COLUMNS = ("doc_id", "text", "lang", "source")
+_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def _view(docs: DataFrame, name: str):
     """A column that the views read; null if it is missing, and a null text is empty."""
     if name == "text":
         return F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
-    return F.col(name).cast("string").alias(name) if name in {c.lower() for c in docs.columns} else F.lit(None).cast("string").alias(name)
+    kind = "long" if name == "n_chars" else "string"
+    return (F.col(name) if name in {c.lower() for c in docs.columns} else F.lit(None)).cast(kind).alias(name)
 
 
 def _described(batch: pa.RecordBatch):
-    """(rows from, to, text view, page view) of parts of a batch of (any, text, lang, source)."""
+    """(rows from, to, text view, page view) of parts of a batch of (any, text, lang, source, n_chars)."""
     data, off = text_buffer(batch.column(1))
-    lang, source = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+    lang, source, n_chars = (batch.column(i).to_pylist() for i in (2, 3, 4))
     for a, b in slices(off, 1 << 20):
         part, cut = data[off[a] : off[b]], off[a : b + 1] - off[a]
-        yield a, b, Sparse(*text_features(part, cut)), Dense(page_features(part, cut, lang[a:b], source[a:b]))
+        yield a, b, Sparse(*text_features(part, cut)), Dense(page_features(lang[a:b], source[a:b], n_chars[a:b]))
 
 
 def _features(rows: DataFrame) -> tuple[list, Sparse, Dense]:
-    """Ids and both views of a bounded table (id long, text, lang, source), by id."""
+    """Ids and both views of a bounded table (id long, text, lang, source, n_chars), by id; beyond FIT_BYTES of features the rest is left out."""
 
     def describe(batches):
         for batch in batches:
@@ -262,8 +255,11 @@ def _features(rows: DataFrame) -> tuple[list, Sparse, Dense]:
                     ["id", "f", "w", "p"],
                 )
 
-    # by Arrow, as rows of Python objects take a multiple of the driver's memory
-    found = rows.mapInArrow(describe, "id long, f binary, w binary, p binary").toArrow().to_pylist()
+    # by Arrow, as rows of Python objects take a multiple of the driver's memory; of a bounded sample, in order of a hash
+    table = saved(rows.mapInArrow(describe, "id long, f binary, w binary, p binary"), "quality-sample")
+    so_far = F.sum(F.length("f") + F.length("w") + F.length("p")).over(Window.orderBy(F.xxhash64("id"), "id", "p").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    found = table.withColumn("n", so_far).where(F.col("n") <= FIT_BYTES).drop("n").toArrow().to_pylist()
+    drop_path(rows.sparkSession, table)
     found.sort(key=lambda r: (r["id"], r["p"]))
     sizes = [len(r["f"]) // 2 for r in found]
     text = Sparse(np.frombuffer(b"".join(r["f"] for r in found), "<u2"), np.frombuffer(b"".join(r["w"] for r in found), "<f4"), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64))
@@ -275,7 +271,7 @@ class Unlabelled:
     """The documents without a known label, whatever their number; equal ones count once."""
 
     def __init__(self, views: DataFrame, known: DataFrame) -> None:
-        named = (F.coalesce(c, F.lit("None")) for c in ("lang", "source"))  # as hash_of has them
+        named = (F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in ("lang", "source", "n_chars"))  # as hash_of has them
         self.views, self.known = views.withColumn("id", F.xxhash64("text", *named)), known
         self.given: tuple[set, set] = set(), set()
 
@@ -339,25 +335,28 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", labell
     return cotrain(text, page, np.array([label_of[x] for x in found]), surest=Unlabelled(views, known.select("doc_id")).surest)
 
 
-def score(docs: DataFrame, model: Model, threshold: float = 0.5, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """columns of docs, quality (probability of good) and kept, for every document; whole texts are read.
-
-    A null text counts as empty. Every row is scored alone: repeated rows alike, null doc_ids too; an
-    empty table gives an empty result.
-    """
+def scored(docs: DataFrame, model: Model) -> DataFrame:
+    """(row struct, quality): every row of docs whole, and its probability of good quality."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     arrow_bounds(docs.sparkSession)
-    carried = [f.name for f in docs.schema.fields if f.name in columns]
+    quoted = ("`" + c.replace("`", "``") + "`" for c in docs.columns)
     # the columns that stay go through as one struct, clear of the views' own names
-    rows = docs.select(F.struct(*(F.col(c) for c in carried)).alias("_kept"), *(_view(docs, c) for c in _COLUMNS[1:]))
+    rows = docs.select(F.struct(*map(F.col, quoted)).alias("row"), *(_view(docs, c) for c in _COLUMNS[1:]))
 
     def run(batches):
         m = sent.value
         for batch in batches:
             out = [m.score(text, page) for _, _, text, page in _described(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out) if out else np.zeros(0))], ["_kept", "quality"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out) if out else np.zeros(0))], ["row", "quality"])
+
+    return rows.mapInArrow(run, StructType([rows.schema["row"], StructField("quality", DoubleType())]))
 
-    kept_type = rows.schema["_kept"].dataType.simpleString()
-    scored = rows.mapInArrow(run, f"_kept {kept_type}, quality double")
-    return scored.select("_kept.*", "quality", (F.col("quality") >= threshold).alias("kept"))
 
+def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, quality, kept): probability of good quality of every document; whole texts are read.
+
+    A null text counts as empty, a missing or null column of metadata as unknown. Every row is scored
+    alone: repeated rows alike, null doc_ids too; an empty table gives an empty result; other columns play no part.
+    """
+    found = scored(docs.select("doc_id", *(c for c in docs.columns if c.lower() in _COLUMNS[1:])), model)
+    return found.select(F.col("row.doc_id").alias("doc_id"), "quality", (F.col("quality") >= threshold).alias("kept"))

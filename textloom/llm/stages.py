@@ -6,12 +6,11 @@ documents of their own. Where a text changes, n_chars follows, if there is such
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import near_dedup, quality, secrets, suffix_dedup
-from .common import arrow_bounds, keyed_rows
+from .common import arrow_bounds, keyed_rows, only, saved
 
 REDACTED = "[SECRET]"
 
@@ -30,18 +29,18 @@ def _as_before(changed: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def good_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents that the co-trained classifier, trained on docs and labels, keeps."""
-    found = quality.score(docs, quality.train(docs, labels), columns=tuple(docs.columns))
-    return found.where("kept").select(*docs.columns)
+    """Documents that the co-trained classifier, trained on docs and labels, keeps; an empty table gives an empty result, and without both classes of labels all stay."""
+    found = quality.scored(docs, quality.train(docs, labels))
+    return found.where(F.col("quality") >= quality.THRESHOLD).select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def one_of_each_group(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The document of smallest doc_id of each group of near duplicates."""
+    """The document of smallest doc_id of each group of near duplicates; those without words all stay, and an empty table gives an empty result."""
     rows = keyed_rows(docs)
     keyed = rows.select("key", F.col("row").getField("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     arrow_bounds(docs.sparkSession)
-    gone = near_dedup.near_components(keyed, size, percent).where("key <> component").select("key")
-    kept = rows.join(gone, "key", "left_anti")
+    gone = saved(near_dedup.near_components(keyed, size, percent).where("key <> component").select("key"), "gone")
+    kept = only(rows, gone, "left_anti")
     return kept.select(*(F.col("text").cast(docs.schema[c].dataType).alias(c) if c.lower() == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
@@ -53,23 +52,22 @@ def without_repeats(docs: DataFrame, window: int = suffix_dedup.WINDOW) -> DataF
 
 
 def without_secrets(docs: DataFrame, mask: str = REDACTED) -> DataFrame:
-    """All documents, each secret's span replaced by a mask; a null text stays null."""
+    """All documents, each secret's span replaced by a mask, overlapping ones by one; a null text stays null."""
     rows = keyed_rows(docs)
     found = secrets.scan(rows.select(F.col("key").alias("doc_id"), "text")).where(F.size("spans") > 0)
-    cuts = found.select(F.col("doc_id").alias("key"), F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("cuts"))
-
-    def redact(batches):
-        for batch in batches:
-            out = []
-            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                made, at = [], 0
-                for s, e in sorted((x["start"], x["end"]) for x in spans):
-                    if s >= at:
-                        made += [text[at:s], mask]
-                    at = max(at, e)
-                out.append("".join([*made, text[at:]]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["key", "masked"])
-
-    hit = rows.select("key", "text").join(cuts, "key").mapInArrow(redact, "key long, masked string")
-    joined = rows.join(hit, "key", "left").select("row", F.coalesce("masked", "text").alias("text"))
-    return _as_before(joined, docs)
+    kind = "array<struct<start:bigint,end:bigint>>"
+    span = lambda s, e: F.struct(s.cast("long").alias("start"), e.cast("long").alias("end"))
+    last = lambda done: F.element_at(done, -1)
+
+    def merged(done, x):
+        wider = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(span(last(done)["start"], F.greatest(last(done)["end"], x["end"]))))
+        return F.when((F.size(done) > 0) & (x["start"] < F.element_at(F.concat(F.array(span(F.lit(0), F.lit(0))), done), -1)["end"]), wider).otherwise(F.concat(done, F.array(x)))
+
+    spans = F.array_sort(F.transform("spans", lambda x: span(x["start"], x["end"])))
+    cuts = found.select(F.col("doc_id").alias("key"), F.aggregate(spans, F.array().cast(kind), merged).alias("cuts"))
+    joined = rows.join(cuts, "key", "left")
+    # what stands before each cut, with the mask, and then the rest
+    ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("cuts", lambda x: x["end"]))
+    before = F.transform("cuts", lambda x, i: F.concat(F.substr("text", (F.get(ends, i) + 1).cast("int"), (x["start"] - F.get(ends, i)).cast("int")), F.lit(mask)))
+    made = F.concat(F.array_join(before, ""), F.substr("text", (F.element_at(ends, -1) + 1).cast("int")))
+    return _as_before(joined.select("row", F.when(F.col("cuts").isNull(), F.col("text")).otherwise(made).alias("text")), docs)
