@@ -29,10 +29,14 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return stages.without_secrets(docs)
 
 
+#: A training sequence: attention costs what one document of all its tokens would at most, and short documents don't crowd it.
+SEQUENCE = packing.Capacity(tokens=4096, documents=256, attention=4096**2, weights=(1.0, 0.25, 0.25))
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 4096 ids and their places in sequences."""
-    found = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
-    return packing.pack(saved(found, "pieces"))
+    """Pieces of at most 4096 ids and their places in sequences, which keep every limit of SEQUENCE."""
+    found = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"), SEQUENCE.tokens)
+    return packing.pack(saved(found, "pieces"), SEQUENCE)
 
 
 STAGES = [
