@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that an Arrow batch should hold at most (a single longer row still travels whole).
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,7 +35,8 @@ def workspace(spark: SparkSession, name: str) -> str:
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: lineage ends at a table that outlives executors."""
     path = workspace(df.sparkSession, name)
-    df.write.parquet(path)
+    # small row groups and pages: what a task holds of a table is bounded by them, in writing and in reading
+    df.write.option("parquet.block.size", 8 << 20).option("parquet.page.size", 128 << 10).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._textloom_path = path
     return out

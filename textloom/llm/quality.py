@@ -336,20 +336,20 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", labell
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """(row struct, quality): every row of docs whole, and its probability of good quality."""
+    """(row struct, text, quality): every row of docs, its text apart and as it is, and its probability of good quality."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     arrow_bounds(docs.sparkSession)
-    quoted = ("`" + c.replace("`", "``") + "`" for c in docs.columns)
-    # the columns that stay go through as one struct, clear of the views' own names
-    rows = docs.select(F.struct(*map(F.col, quoted)).alias("row"), *(_view(docs, c) for c in _COLUMNS[1:]))
+    quoted = ("`" + c.replace("`", "``") + "`" for c in docs.columns if c.lower() != "text")
+    # the columns that stay go through as one struct, clear of the views' own names; a text goes once
+    rows = docs.select(F.struct(*map(F.col, quoted)).alias("row"), F.col("text").cast("string").alias("text"), *(_view(docs, c) for c in _COLUMNS[2:]))
 
     def run(batches):
         m = sent.value
         for batch in batches:
             out = [m.score(text, page) for _, _, text, page in _described(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out) if out else np.zeros(0))], ["row", "quality"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(out) if out else np.zeros(0))], ["row", "text", "quality"])
 
-    return rows.mapInArrow(run, StructType([rows.schema["row"], StructField("quality", DoubleType())]))
+    return rows.mapInArrow(run, StructType([rows.schema["row"], rows.schema["text"], StructField("quality", DoubleType())]))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

@@ -31,7 +31,8 @@ def _as_before(changed: DataFrame, docs: DataFrame) -> DataFrame:
 def good_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Documents that the co-trained classifier, trained on docs and labels, keeps; an empty table gives an empty result, and without both classes of labels all stay."""
     found = quality.scored(docs, quality.train(docs, labels))
-    return found.where(F.col("quality") >= quality.THRESHOLD).select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+    kept = found.where(F.col("quality") >= quality.THRESHOLD)
+    return kept.select(*(F.col("text").cast(docs.schema[c].dataType).alias(c) if c.lower() == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def one_of_each_group(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

@@ -36,7 +36,7 @@ from .common import binary_array, keyed, merged, ranges, salted_join, saved, sli
 #: Different pieces of one anchor that are solved together at most, and offsets of the anchor that a part of more has, coarse to fine.
 MOST, WIDTHS = 512, (16, 4, 1)
 #: Buckets of a task, each sorted on its own.
-BUCKETS = 16
+BUCKETS = 4
 _rng = np.random.default_rng(20240607)
 TABLE = _rng.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _P = np.uint64(0x9E3779B97F4A7C15)
