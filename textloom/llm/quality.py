@@ -24,7 +24,7 @@ from .minhash import LOWER
 from .winnow import mix, word_hashes, words_of
 
 #: Bounds of the labelled sample, in documents and in bytes of their features; unlabelled documents have none.
-LABELLED, FIT_BYTES = 5000, 24 << 20
+LABELLED, FIT_BYTES = 5000, 16 << 20
 #: Hashed features of the text view, rounds, and documents that a model hands over in a round, in the classes' known proportion.
 FEATURES, ROUNDS, SHARE = 1 << 16, 3, 250  # features travel as 16 bits
 #: Log odds from which a model is sure of a document.
@@ -54,7 +54,7 @@ def text_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
 
 
 #: Features of the page view: bias, unknown length, length, and hashed places for length classes, languages, sources and pairs of them.
-PAGE = 256
+PAGE = 128
 
 
 def page_features(lang: list, source: list, n_chars: list) -> np.ndarray:
@@ -65,10 +65,10 @@ def page_features(lang: list, source: list, n_chars: list) -> np.ndarray:
         size = -1 if n is None else min(15, int(math.log2(max(0, n) + 1)))
         out[i, 1], out[i, 2] = n is None, 0 if n is None else math.log1p(max(0, n)) / 10
         out[i, 3 + size + 1] += 0.5
-        out[i, 32 + hash_of(a) % 32] += 0.5
-        out[i, 64 + hash_of(b) % 64] += 0.5
-        out[i, 128 + hash_of((a, size)) % 64] += 0.5
-        out[i, 192 + hash_of((a, b)) % 64] += 0.5
+        out[i, 20 + hash_of(a) % 12] += 0.5
+        out[i, 32 + hash_of(b) % 32] += 0.5
+        out[i, 64 + hash_of((a, size)) % 32] += 0.5
+        out[i, 96 + hash_of((a, b)) % 32] += 0.5
     return out
 
 
@@ -86,7 +86,7 @@ class Sparse:
     """Rows of (feature, weight), for logistic models."""
 
     def __init__(self, feature: np.ndarray, weight: np.ndarray, offsets: np.ndarray) -> None:
-        self.f, self.w, self.o = feature, weight, offsets
+        self.f, self.w, self.o, self.rows = feature, weight, offsets, len(offsets) - 1
         self.row = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
 
     def parts(self):
@@ -106,15 +106,25 @@ class Sparse:
             out += np.bincount(f, w * r[row], minlength=FEATURES)
         return np.append(out, r.sum())
 
-    def joined(self, other: Sparse) -> Sparse:
-        return Sparse(np.concatenate([self.f, other.f]), np.concatenate([self.w, other.w]), np.concatenate([self.o, self.o[-1] + other.o[1:]]))
-
     size = FEATURES + 1
 
 
+class Joined:
+    """Rows of one view after those of another; nothing is copied."""
+
+    def __init__(self, first, second) -> None:
+        self.first, self.second, self.size, self.rows = first, second, first.size, first.rows + second.rows
+
+    def dot(self, model: np.ndarray) -> np.ndarray:
+        return np.concatenate([self.first.dot(model), self.second.dot(model)])
+
+    def grad(self, r: np.ndarray) -> np.ndarray:
+        return self.first.grad(r[: self.first.rows]) + self.second.grad(r[self.first.rows :])
+
+
 class Dense:
     def __init__(self, x: np.ndarray) -> None:
-        self.x, self.size = x, x.shape[1]
+        self.x, self.rows, self.size = x, *x.shape
 
     def dot(self, model: np.ndarray) -> np.ndarray:
         return self.x @ model
@@ -122,11 +132,8 @@ class Dense:
     def grad(self, r: np.ndarray) -> np.ndarray:
         return r @ self.x
 
-    def joined(self, other: Dense) -> Dense:
-        return Dense(np.concatenate([self.x, other.x]))
-
 
-def fit(x: Sparse | Dense, y: np.ndarray, weight: np.ndarray, l2: float, steps: int = 70) -> np.ndarray:
+def fit(x: Sparse | Dense | Joined, y: np.ndarray, weight: np.ndarray, l2: float, steps: int = 70) -> np.ndarray:
     """Logistic regression by Adam on all rows; rows of weight 0 play no part."""
     model, m, v = np.zeros(x.size), np.zeros(x.size), np.zeros(x.size)
     total = max(weight.sum(), 1e-9)
@@ -198,7 +205,7 @@ def cotrain(text: Sparse, page: Dense, label: np.ndarray, rounds: int = ROUNDS,
         sizes = max(1, round(share * (1 - base))), max(1, round(share * base))
         if surest:
             more = surest(models, sizes)
-            text, page = text.joined(more[0]), page.joined(more[1])
+            text, page = Joined(text, more[0]), Joined(page, more[1])
             for v in (0, 1):
                 ys[v] = np.append(ys[v], np.maximum(more[2][v], 0))
                 ws[v] = np.append(ws[v], np.where(more[2][v] >= 0, 0.5, 0))
@@ -258,13 +265,12 @@ def _features(rows: DataFrame) -> tuple[list, Sparse, Dense]:
     # by Arrow, as rows of Python objects take a multiple of the driver's memory; of a bounded sample, in order of a hash
     table = saved(rows.mapInArrow(describe, "id long, f binary, w binary, p binary"), "quality-sample")
     so_far = F.sum(F.length("f") + F.length("w") + F.length("p")).over(Window.orderBy(F.xxhash64("id"), "id", "p").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    found = table.withColumn("n", so_far).where(F.col("n") <= FIT_BYTES).drop("n").toArrow().to_pylist()
+    found = table.withColumn("n", so_far).where(F.col("n") <= FIT_BYTES).orderBy("id", "p").select("id", "f", "w", "p").toArrow()
     drop_path(rows.sparkSession, table)
-    found.sort(key=lambda r: (r["id"], r["p"]))
-    sizes = [len(r["f"]) // 2 for r in found]
-    text = Sparse(np.frombuffer(b"".join(r["f"] for r in found), "<u2"), np.frombuffer(b"".join(r["w"] for r in found), "<f4"), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64))
-    page = Dense(np.frombuffer(b"".join(r["p"] for r in found), "<f4").reshape(len(found), PAGE).astype(float))
-    return [r["id"] for r in found], text, page
+    (f, o), (w, _), (p, _) = (text_buffer(found.column(c)) for c in ("f", "w", "p"))
+    # small types: the fit takes them as they are
+    text, page = Sparse(f.view("<u2"), w.view("<f4"), o // 2), Dense(p.view("<f4").reshape(found.num_rows, PAGE))
+    return found.column("id").to_pylist(), text, page
 
 
 class Unlabelled:
