@@ -12,6 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# freed batches go back to the system at once; Arrow's own pool would keep the most that a worker ever held
+pa.set_memory_pool(pa.system_memory_pool())
+
 #: Bytes of text that an Arrow batch should hold at most (a single longer row still travels whole).
 BATCH_BYTES = 2 << 20
 

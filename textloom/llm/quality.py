@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import arrow_bounds, drop_path, saved, slices, text_buffer
+from .common import arrow_bounds, drop_path, only, saved, slices, text_buffer
 from .minhash import LOWER
 from .winnow import mix, word_hashes, words_of
 
@@ -278,7 +278,8 @@ class Unlabelled:
 
     def __init__(self, views: DataFrame, known: DataFrame) -> None:
         named = (F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in ("lang", "source", "n_chars"))  # as hash_of has them
-        self.views, self.known = views.withColumn("id", F.xxhash64("text", *named)), known
+        self.views = views.withColumn("id", F.xxhash64("text", *named))
+        self.known = saved(known.select(F.col("doc_id").alias("key")), "quality-known")
         self.given: tuple[set, set] = set(), set()
 
     def scored(self, models: list) -> DataFrame:
@@ -294,7 +295,7 @@ class Unlabelled:
                 yield pa.RecordBatch.from_arrays([batch.column(0).field(0), batch.column(0).field(1), *map(pa.array, z)], ["doc_id", "id", "z0", "z1"])
 
         z = self.views.select(F.struct("doc_id", "id"), *_COLUMNS[1:]).mapInArrow(run, "doc_id long, id long, z0 double, z1 double")
-        sure = z.where((F.abs("z0") > SURE) | (F.abs("z1") > SURE)).join(self.known, "doc_id", "left_anti")
+        sure = only(z.where((F.abs("z0") > SURE) | (F.abs("z1") > SURE)).withColumnRenamed("doc_id", "key"), self.known, "left_anti")
         out = saved(sure.groupBy("id").agg(F.max("z0").alias("z0"), F.max("z1").alias("z1")), "quality-sure")
         sent.destroy()
         return out

@@ -37,6 +37,8 @@ from .common import binary_array, keyed, merged, ranges, salted_join, saved, sli
 MOST, WIDTHS = 512, (16, 4, 1)
 #: Buckets of a task, each sorted on its own.
 BUCKETS = 4
+#: Pieces that a worker gathers before it gives them.
+PIECES = 5000
 _rng = np.random.default_rng(20240607)
 TABLE = _rng.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -297,6 +299,9 @@ def cut_windows(docs: DataFrame, unit: Unit, solve: Callable, finish: Callable,
                     v.append(row.get(c))
 
             for key, doc_id, text, cuts, needs in zip(*(batch.column(i).to_pylist() if i != 2 else batch.column(i) for i in range(5))):
+                if len(out["key"]) >= PIECES:
+                    yield pa.RecordBatch.from_pydict(out, schema=arrow)
+                    out = {c: [] for c in out}
                 body = text.as_buffer().to_pybytes()
                 seq = unit.sequence(body)
                 cuts = as_cuts(cuts)
@@ -305,7 +310,10 @@ def cut_windows(docs: DataFrame, unit: Unit, solve: Callable, finish: Callable,
                     put(key=key, doc_id=doc_id, **dict(zip(names, finish(seq, cuts))))
                     continue
                 put(key=key, doc_id=doc_id, text=text.as_py(), cuts=cuts.astype("<u4").tobytes())
-                for h, lo, n, a, big in needs.tolist():
+                for i, (h, lo, n, a, big) in enumerate(needs.tolist(), 1):
+                    if i % PIECES == 0:
+                        yield pa.RecordBatch.from_pydict(out, schema=arrow)
+                        out = {c: [] for c in out}
                     put(key=key, h=h - (1 << 64) if h >> 63 else h, lo=lo, a=a, big=bool(big), piece=unit.joined(seq[lo : lo + n + unit.length - 1]))
             yield pa.RecordBatch.from_pydict(out, schema=arrow)
 
