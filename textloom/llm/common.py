@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 pa.set_memory_pool(pa.system_memory_pool())
 
 #: Bytes of text that an Arrow batch should hold at most (a single longer row still travels whole).
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -334,7 +334,7 @@ def cut_windows(docs: DataFrame, unit: Unit, solve: Callable, finish: Callable,
             small, large = small.unionByName(parts.where(F.col("n") <= most).drop("n")), parts.where(F.col("n") > most).drop("n")
 
     def solved(batches):
-        for group in whole_groups(batches, 0, 1 << 20):
+        for group in whole_groups(batches, 0, 1 << 18):
             got = solve(list(zip(group["h"], group["key"], group["lo"], group["piece"])))
             if got:
                 keys, starts, ends = zip(*got)
