@@ -157,7 +157,7 @@ def keyed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 #: Rows of one key that may stand in a task, and keys that are salted at most: any other key holds less than 1/HEAVY_KEYS of all rows.
-EACH, HEAVY_KEYS = 256, 10_000
+EACH, HEAVY_KEYS = 128, 10_000
 
 
 def heavy(df: DataFrame, key: str, each: int = EACH) -> DataFrame | None:
