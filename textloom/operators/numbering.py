@@ -1,4 +1,4 @@
-"""Global row numbers without a global window."""
+"""Global row numbers and running sums without a global window, and joins on keys that may be hot."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..sources.store import saved
 
 _ROWS = (1 << 33) - 1
+#: A key of more rows than EACH is hot; at most HOT_KEYS are broadcast, so any other has less than EACH rows or 1/HOT_KEYS of them.
+EACH, HOT_KEYS = 4096, 10_000
 
 
 def numbered(df: DataFrame, order: list[str | Column], name: str) -> DataFrame:
@@ -22,3 +24,22 @@ def numbered(df: DataFrame, order: list[str | Column], name: str) -> DataFrame:
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = table.groupBy(part.alias("_part")).agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     return table.withColumn("_part", part).join(F.broadcast(sizes), "_part").withColumn(name, F.col("_base") + F.col("_at").bitwiseAND(F.lit(_ROWS))).drop("_part", "_base", "_at")
+
+
+def running_sum(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """Add name: the sum of value over rows with a smaller key, which must not repeat. Dealt as in ``numbered``."""
+    table = numbered(df, [key], "_place").withColumn("_b", F.shiftright("_place", 16))
+    earlier = lambda spec, of: F.coalesce(F.sum(of).over(spec.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = table.groupBy("_b").agg(F.sum(value).alias("_sum")).select("_b", earlier(Window.orderBy("_b"), "_sum").alias("_base"))
+    own = table.withColumn("_own", earlier(Window.partitionBy("_b").orderBy("_place"), value))
+    return own.join(blocks, "_b").withColumn(name, F.col("_base") + F.col("_own")).drop("_b", "_base", "_own", "_place")
+
+
+def lookup(many: DataFrame, one: DataFrame, key: str, n: str) -> DataFrame:
+    """Inner join of a saved table of many rows a key with a saved one of a row a key, whose column n counts those many.
+
+    Hot keys meet by broadcast where their rows stand, and only the others are shuffled. n goes.
+    """
+    hot = saved(one.where(F.col(n) > EACH).orderBy(F.col(n).desc(), key).limit(HOT_KEYS), "hot").drop(n)
+    cold = many.join(F.broadcast(hot.select(key)), key, "left_anti").join(one.drop(n), key)
+    return many.join(F.broadcast(hot), key).unionByName(cold)

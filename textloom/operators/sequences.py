@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .numbering import numbered
+from ..sources.store import saved
+from .numbering import lookup, numbered, running_sum
 
 
 def length(seq: DataFrame) -> int:
@@ -14,7 +15,14 @@ def length(seq: DataFrame) -> int:
 
 def max_bit(seq: DataFrame) -> int:
     """Bits of the largest value, 0 without any."""
-    return int(seq.agg(F.max("value")).first()[0] or 0).bit_length()
+    return shape(seq).first().max_bit
+
+
+def shape(seq: DataFrame) -> DataFrame:
+    """(length, max_bit): places, and bits of the largest value, 0 without any; one row."""
+    top = F.coalesce(F.max("value"), F.lit(0)).cast("bigint")
+    bits = F.when(top == 0, 0).otherwise(F.length(F.bin(top))).cast("int")
+    return seq.agg(F.count("*").alias("length"), bits.alias("max_bit"))
 
 
 def _within(seq: DataFrame, end: int, inclusive: bool) -> None:
@@ -40,19 +48,14 @@ def rank(seq: DataFrame, value: int, end: int) -> DataFrame:
 
 def run_starts(seq: DataFrame) -> DataFrame:
     """(value, n, less): count of each value, and of all smaller ones, which is where its run starts in sorted order."""
-    each = numbered(seq.groupBy("value").agg(F.count("*").alias("n")), ["value"], "_i").withColumn("_b", F.shiftright("_i", 16))
-    # a running sum in blocks of 65,536 values, as there may be as many values as places
-    earlier = lambda spec: F.coalesce(F.sum("n").over(spec.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    blocks = each.groupBy("_b").agg(F.sum("n").alias("n")).select("_b", earlier(Window.orderBy("_b")).alias("_base"))
-    within = each.withColumn("_own", earlier(Window.partitionBy("_b").orderBy("value")))
-    return within.join(blocks, "_b").select("value", "n", (F.col("_base") + F.col("_own")).alias("less"))
+    return running_sum(seq.groupBy("value").agg(F.count("*").alias("n")), "value", "n", "less").select("value", "n", "less")
 
 
 def ranks(seq: DataFrame) -> DataFrame:
     """(pos, value, rank): for every place, how often its value stands before. A value may hold most places."""
-    starts = run_starts(seq).select("value", "less")
-    placed = numbered(seq.select("pos", "value"), ["value", "pos"], "_place")
-    return placed.join(starts, "value").select("pos", "value", (F.col("_place") - F.col("less")).alias("rank"))
+    starts = saved(run_starts(seq), "starts")
+    placed = saved(numbered(seq.select("pos", "value"), ["value", "pos"], "_place"), "placed")
+    return lookup(placed, starts, "value", "n").select("pos", "value", (F.col("_place") - F.col("less")).alias("rank"))
 
 
 def select(seq: DataFrame, value: int, k: int) -> DataFrame:
@@ -63,16 +66,27 @@ def select(seq: DataFrame, value: int, k: int) -> DataFrame:
     return own.where(F.col("_i") == k - 1).select("pos")
 
 
-def range_frequencies(seq: DataFrame, start: int, end: int) -> DataFrame:
-    """(value, n) of values at places start <= pos < end."""
+def _frequencies(seq: DataFrame, start: int, end: int) -> DataFrame:
+    if start > end:
+        raise ValueError("start must be less than or equal to end")
+    _within(seq, end, True)
     return seq.where((F.col("pos") >= start) & (F.col("pos") < end)).groupBy("value").agg(F.count("*").alias("n"))
 
 
+def range_frequencies(seq: DataFrame, start: int, end: int) -> DataFrame:
+    """(value, n) of values at places start <= pos < end, by ascending value; no row for an empty range.
+
+    ValueError for a start beyond the end, IndexError for an end beyond the length.
+    """
+    return _frequencies(seq, start, end).orderBy("value")
+
+
 def top_k(seq: DataFrame, start: int, end: int, k: int) -> DataFrame:
-    """(value, n) of the k most frequent values of a range; ties go to the smaller value."""
+    """(value, n) of the k most frequent values of a range; ties go to the smaller value. Errors as for ``range_frequencies``."""
+    found = _frequencies(seq, start, end)
     if k <= 0:
         raise ValueError("k must be greater than 0")
-    return range_frequencies(seq, start, end).orderBy(F.col("n").desc(), "value").limit(k)
+    return found.orderBy(F.col("n").desc(), "value").limit(k)
 
 
 def values(seq: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import code_points
 from ..sources.store import saved
-from .numbering import numbered
+from .numbering import lookup, numbered, running_sum
 from .sequences import run_starts
 
 
@@ -28,18 +28,19 @@ def suffix_array(docs: DataFrame) -> DataFrame:
 
     Prefix doubling: after a round, ranks order suffixes by twice as many symbols, as the rank of a
     suffix is followed by that of the suffix as many places on. It ends once all ranks of suffixes
-    of one document differ, after log2 of the longest repeat. A rank that many suffixes share is no
-    hot key: rows are dealt by rank and place.
+    of one document differ, after log2 of the longest repeat. A rank that many suffixes share, as all
+    that start with one letter do at first, is no hot key: rows are dealt by rank and place, and the
+    least place of such a rank is broadcast to them.
     """
     rows = saved(symbols(docs), "symbols")
     now, step = rows.select("doc_id", "pos", F.struct(F.col("symbol").cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b")).alias("key")), 1
     groups = -1
     while True:
-        placed = numbered(now, ["key", "doc_id", "pos"], "place")
+        placed = saved(numbered(now, ["key", "doc_id", "pos"], "place"), "placed")
         # the least place of equal keys is their rank
-        least = placed.groupBy("key").agg(F.min("place").alias("rank"))
-        ranked = saved(placed.join(least, "key").select("doc_id", "pos", "rank", "place"), "ranks")
-        found = ranked.select("rank").distinct().count()
+        least = saved(placed.groupBy("key").agg(F.min("place").alias("rank"), F.count("*").alias("n")), "least")
+        ranked = saved(lookup(placed, least, "key", "n").select("doc_id", "pos", "rank", "place"), "ranks")
+        found = least.count()
         if found == groups:
             return ranked.join(rows, ["doc_id", "pos"]).select(F.col("place").alias("sa_rank"), "doc_id", "pos", "symbol")
         groups = found
@@ -48,6 +49,12 @@ def suffix_array(docs: DataFrame) -> DataFrame:
         step *= 2
 
 
+def document_starts(docs: DataFrame) -> DataFrame:
+    """(doc_id, start): place of each document's first symbol where all stand one after another by doc_id, each with its end's symbol."""
+    lengths = docs.where(F.col("text").isNotNull()).select("doc_id", (F.length("text") + 1).cast("bigint").alias("n"))
+    return running_sum(lengths, "doc_id", "n", "start").select("doc_id", "start")
+
+
 def bwt(suffixes: DataFrame) -> DataFrame:
     """(sa_rank, doc_id, pos, symbol): of each suffix the symbol before it, 0 where it is the whole document."""
     before = suffixes.select("doc_id", (F.col("pos") + 1).alias("pos"), F.col("symbol").alias("before"))
@@ -72,21 +79,26 @@ def inverse(transform: DataFrame) -> DataFrame:
     """(doc, text) from (sa_rank, symbol) and the mapping alone; doc is the place of a document by doc_id.
 
     Pointers jump twice as far in each round until they reach the whole document, as many steps away as
-    a suffix has places before it.
+    a suffix has places before it. Rows that are there wait aside, so no two others share a target; a text is
+    put together from blocks of its characters.
     """
     mapped = saved(transform.select("sa_rank", "symbol").join(lf_mapping(transform), "sa_rank"), "lf")
     end = F.col("symbol") == 0
-    now = mapped.select("sa_rank", F.when(end, F.col("sa_rank")).otherwise(F.col("lf")).alias("to"), F.when(end, 0).otherwise(1).cast("bigint").alias("steps"))
+    now = mapped.select("sa_rank", F.when(end, F.col("sa_rank")).otherwise(F.col("lf")).alias("to"), F.when(end, 0).otherwise(1).cast("bigint").alias("steps"), end.alias("there"))
     while True:
         now = saved(now, "jumps")
-        other = now.select(F.col("sa_rank").alias("to"), F.col("to").alias("next"), F.col("steps").alias("more"))
-        if not now.join(other, "to").where("more > 0").limit(1).count():
+        going = now.where(~F.col("there"))
+        if not going.limit(1).count():
             break
-        now = now.join(other, "to").select("sa_rank", F.col("next").alias("to"), (F.col("steps") + F.col("more")).alias("steps"))
-    docs = mapped.where(end).select(F.col("sa_rank").alias("to"), F.col("lf").alias("doc"))
-    rows = now.join(docs, "to").join(mapped.select("sa_rank", "symbol"), "sa_rank").select("doc", "steps", (F.col("symbol") - 1).alias("code"))
+        other = now.select(F.col("sa_rank").alias("to"), F.col("to").alias("next"), F.col("steps").alias("more"), F.col("there").alias("_there"))
+        jumped = going.join(other, "to").select("sa_rank", F.col("next").alias("to"), (F.col("steps") + F.col("more")).alias("steps"), F.col("_there").alias("there"))
+        now = now.where("there").unionByName(jumped)
+    sizes = now.groupBy("to").agg(F.count("*").alias("n"))
+    docs = saved(mapped.where(end).select(F.col("sa_rank").alias("to"), F.col("lf").alias("doc")).join(sizes, "to"), "docs")
+    rows = lookup(now, docs, "to", "n").join(mapped.select("sa_rank", "symbol"), "sa_rank").select("doc", "steps", (F.col("symbol") - 1).alias("code"))
     # a byte order mark in front, or a text's own would go
     bytes_of = F.expr("decode(unhex(concat('0000FEFF', lpad(hex(code), 8, '0'))), 'UTF-32')")
-    each = rows.select("doc", "steps", F.when(F.col("code") >= 0, bytes_of).otherwise(F.lit("")).alias("c"))
-    parts = F.array_sort(F.collect_list(F.struct("steps", "c")))
-    return each.groupBy("doc").agg(F.array_join(F.transform(parts, lambda x: x["c"]), "").alias("text"))
+    each = rows.select("doc", F.shiftright("steps", 12).alias("block"), "steps", F.when(F.col("code") >= 0, bytes_of).otherwise(F.lit("")).alias("c"))
+    ordered = lambda key, of: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, of))), lambda x: x[of]), "")
+    blocks = each.groupBy("doc", "block").agg(ordered("steps", "c").alias("part"))
+    return blocks.groupBy("doc").agg(ordered("block", "part").alias("text"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import copy
+import pickle
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from .functions import register
 from .operators import search, sequences, suffixes
 from .operators.grams import GramIndex
+from .plans import CollectionSearch, TextSearch
 from .sources.corpus import Corpus
 from .sources.store import fresh_path, saved
 
@@ -77,6 +80,38 @@ def locate_grouped(spark, sf_dir):
     return found.select("doc_id", F.array_join("positions", ",").alias("positions"))
 
 
+def _facade(spark, sf_dir) -> CollectionSearch:
+    return CollectionSearch.of(Corpus.from_table(_docs(spark, sf_dir), check=False))
+
+
+def iterated(spark, sf_dir):
+    """Occurrences in all documents, as the iterator gives them."""
+    return spark.createDataFrame(list(_facade(spark, sf_dir).iter_locate(LONG)), "doc_id bigint, pos bigint")
+
+
+def iterated_in_doc(spark, sf_dir):
+    return spark.createDataFrame([(pos,) for pos in _facade(spark, sf_dir).iter_locate("e", doc_id=DOC)], "pos bigint")
+
+
+def iterated_text(spark, sf_dir):
+    """Occurrences in the text of one document, by the iterator of a search made from a string."""
+    text = _docs(spark, sf_dir).where(F.col("doc_id") == DOC).select("text").first()[0]
+    return spark.createDataFrame([(pos,) for pos in TextSearch(text).iter_locate("e")], "pos bigint")
+
+
+def copied_names(spark, sf_dir):
+    """Counts in a search made from a list of strings, in its copies, and in what is pickled and read back."""
+    names = [r.r_name for r in _table(spark, sf_dir, "region").orderBy("r_regionkey").collect()]
+    x = CollectionSearch(names)
+    made = {"made": x, "copy": copy.copy(x), "deepcopy": copy.deepcopy(x), "pickle": pickle.loads(pickle.dumps(x))}
+    rows = [(source, doc, n) for source, y in made.items() for doc, n in y.count("A").items()]
+    return spark.createDataFrame(rows, "source string, doc_id bigint, n bigint")
+
+
+def document_starts(spark, sf_dir):
+    return suffixes.document_starts(_docs(spark, sf_dir))
+
+
 def contains_substring(spark, sf_dir):
     return search.containing(_docs(spark, sf_dir), WORD)
 
@@ -191,6 +226,10 @@ def sequence_top(spark, sf_dir):
     return sequences.top_k(_sequence(spark, sf_dir), 100, 1200, 5)
 
 
+def sequence_shape(spark, sf_dir):
+    return sequences.shape(_sequence(spark, sf_dir))
+
+
 def sequence_values(spark, sf_dir):
     return sequences.values(_sequence(spark, sf_dir))
 
@@ -225,7 +264,7 @@ def inverse_transform(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    skip = {"queries", "oracle_sql", "register", "saved", "fresh_path"}
+    skip = {"queries", "oracle_sql"}
     return {k: f for k, f in globals().items() if callable(f) and not k.startswith("_") and k[0].islower() and k not in skip and getattr(f, "__module__", "") == __name__}
 
 
@@ -266,6 +305,11 @@ def oracle_sql() -> dict[str, str]:
         "locate_in_doc": _positions("e", f"doc_id = {DOC}") + "SELECT pos FROM p",
         "locate_empty": "SELECT p_partkey AS doc_id, unnest(range(0, length(p_name) + 1))::BIGINT AS pos FROM part",
         "locate_grouped": _positions(WORD) + "SELECT doc_id, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS positions FROM p GROUP BY doc_id",
+        "iterated": located(LONG),
+        "iterated_in_doc": _positions("e", f"doc_id = {DOC}") + "SELECT pos FROM p",
+        "iterated_text": _positions("e", f"doc_id = {DOC}") + "SELECT pos FROM p",
+        "copied_names": "SELECT source, r_regionkey::BIGINT AS doc_id, (length(r_name) - length(replace(r_name, 'A', '')))::BIGINT AS n FROM region, (VALUES ('made'), ('copy'), ('deepcopy'), ('pickle')) v(source) WHERE contains(r_name, 'A')",
+        "document_starts": "SELECT doc_id, coalesce(sum(length(text) + 1) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM documents",
         "contains_substring": f"SELECT doc_id FROM documents WHERE contains(text, '{WORD}')",
         "contains_document": f"SELECT doc_id FROM documents WHERE text = (SELECT text FROM documents WHERE doc_id = {DOC})",
         "starts_with": f"SELECT doc_id FROM documents WHERE starts_with(text, '{PREFIX}')",
@@ -289,6 +333,7 @@ def oracle_sql() -> dict[str, str]:
         "sequence_select": _SEQ + "SELECT pos FROM s WHERE value = 5 ORDER BY pos LIMIT 1 OFFSET 1",
         "sequence_range": _SEQ + "SELECT value, count(*)::BIGINT AS n FROM s WHERE pos >= 100 AND pos < 1200 GROUP BY value",
         "sequence_top": _SEQ + "SELECT value, count(*)::BIGINT AS n FROM s WHERE pos >= 100 AND pos < 1200 GROUP BY value ORDER BY n DESC, value LIMIT 5",
+        "sequence_shape": _SEQ + "SELECT count(*)::BIGINT AS length, length(bin(max(value)::BIGINT))::INTEGER AS max_bit FROM s",
         "sequence_values": _SEQ + "SELECT pos, value FROM s",
         "sequence_starts": _SEQ + ", g AS (SELECT value, count(*)::BIGINT AS n FROM s GROUP BY value) SELECT value, n, coalesce(sum(n) OVER (ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS less FROM g",
         "suffix_array": _SUFFIXES + "SELECT sa_rank, doc_id, pos, symbol FROM a",
