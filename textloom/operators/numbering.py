@@ -36,10 +36,14 @@ def running_sum(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
 
 
 def lookup(many: DataFrame, one: DataFrame, key: str, n: str) -> DataFrame:
-    """Inner join of a saved table of many rows a key with a saved one of a row a key, whose column n counts those many.
+    """Inner join of many rows a key with a saved table of a row a key, whose column n counts those many.
 
     Hot keys meet by broadcast where their rows stand, and only the others are shuffled. n goes.
     """
-    hot = saved(one.where(F.col(n) > EACH).orderBy(F.col(n).desc(), key).limit(HOT_KEYS), "hot").drop(n)
-    cold = many.join(F.broadcast(hot.select(key)), key, "left_anti").join(one.drop(n), key)
-    return many.join(F.broadcast(hot), key).unionByName(cold)
+    bare = one.drop(n)
+    rows = one.where(F.col(n) > EACH).orderBy(F.col(n).desc(), key).limit(HOT_KEYS).drop(n).collect()
+    if not rows:
+        return many.join(bare, key)
+    hot = F.broadcast(one.sparkSession.createDataFrame(rows, bare.schema))
+    many = saved(many, "many")
+    return many.join(hot, key).unionByName(many.join(hot, key, "left_anti").join(bare, key))
