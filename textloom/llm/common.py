@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # freed batches go back to the system at once; Arrow's own pool would keep the most that a worker ever held
 pa.set_memory_pool(pa.system_memory_pool())
@@ -65,6 +67,43 @@ def arrow_bounds(spark: SparkSession) -> None:
             pass
 
 
+#: What a worker keeps from task to task, such as a tokenizer and its tables; a task of an operator without use for it drops it.
+KEPT: dict = {}
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system, where the C library can do that (glibc); else it stays with the process."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):
+        pass
+
+
+def drop_kept() -> None:
+    if KEPT:
+        KEPT.clear()
+        give_back()
+
+
+def in_batches(df: DataFrame, run: Callable, schema: str | StructType, keeps: bool = False) -> DataFrame:
+    """mapInArrow for a pipeline, in which workers outlive their operators: what run doesn't need (KEPT, unless keeps) is dropped first, and what it freed is given back in the end."""
+
+    def task(batches):
+        if not keeps:
+            drop_kept()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(task, schema)
+
+
+def local(spark: SparkSession, table: pa.Table, schema: str) -> DataFrame:
+    """A small table of the driver, by Arrow: a list of rows would go through an RDD, for which each executor starts a Python daemon and workers of another kind and keeps them."""
+    return spark.createDataFrame(table, schema)
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id long, text string): other columns go, null text is the empty text."""
     arrow_bounds(docs.sparkSession)
@@ -163,8 +202,8 @@ EACH, HEAVY_KEYS = 128, 10_000
 def heavy(df: DataFrame, key: str, each: int = EACH) -> DataFrame | None:
     """(key, _salts) of the keys with most rows, and how many parts of about ``each`` rows to split them into; None without any."""
     counts = df.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > each)
-    rows = counts.orderBy(F.col("_n").desc()).limit(HEAVY_KEYS).select(key, F.ceil(F.col("_n") / each).cast("int").alias("_salts")).collect()
-    return df.sparkSession.createDataFrame(rows, f"{key} {df.schema[key].dataType.simpleString()}, _salts int") if rows else None
+    rows = counts.orderBy(F.col("_n").desc()).limit(HEAVY_KEYS).select(key, F.ceil(F.col("_n") / each).cast("int").alias("_salts")).toArrow()
+    return local(df.sparkSession, rows, f"{key} {df.schema[key].dataType.simpleString()}, _salts int") if rows.num_rows else None
 
 
 def salted(df: DataFrame, key: str, hot: DataFrame | None, by: str) -> DataFrame:

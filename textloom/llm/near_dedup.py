@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_path, heavy, keyed, only, ranges, salted, salted_join, saved, slices, text_buffer
+from .common import drop_path, heavy, in_batches, keyed, only, ranges, salted, salted_join, saved, slices, text_buffer
 from .components import Sets, components
 from .minhash import shingle_hashes, signatures
 from .winnow import mix
@@ -116,7 +116,7 @@ def described(rows: DataFrame, size: int, places: int = PLACES, bits: int = BITS
                     ["key", "doc_id", "n_shingles", "set", "sig"],
                 )
 
-    return rows.select("key", "doc_id", "text").mapInArrow(run, "key long, doc_id long, n_shingles long, set binary, sig binary")
+    return in_batches(rows.select("key", "doc_id", "text"), run, "key long, doc_id long, n_shingles long, set binary, sig binary")
 
 
 _SALT = np.uint64(0x5851F42D4C957F2D)
@@ -133,7 +133,7 @@ def _shingle_sets(rows: DataFrame, size: int) -> DataFrame:
                 sets = [np.unique(hashes[s:e]).tobytes() for s, e in zip(bounds[:-1], bounds[1:])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sets, pa.binary())], ["key", "data"])
 
-    return rows.select("key", "text").mapInArrow(run, "key long, data binary")
+    return in_batches(rows.select("key", "text"), run, "key long, data binary")
 
 
 def _blocks(df: DataFrame, count: str) -> DataFrame:
@@ -196,7 +196,7 @@ def meet(pairs: DataFrame, things: DataFrame, test, parts: int) -> DataFrame:
             if len(hit):
                 yield part.select(["u", "v"]).take(pa.array(hit))
 
-    return lead.unionByName(rest).repartition(parts, *order).sortWithinPartitions(*order, "kind", "v").mapInArrow(run, "u long, v long")
+    return in_batches(lead.unionByName(rest).repartition(parts, *order).sortWithinPartitions(*order, "kind", "v"), run, "u long, v long")
 
 
 def near_components(rows: DataFrame, size: int, percent: int, places: int = PLACES, bits: int = BITS, errors: int = ERRORS, bucket: int = BUCKET, cluster: int = CLUSTER) -> DataFrame:
@@ -217,7 +217,7 @@ def near_components(rows: DataFrame, size: int, percent: int, places: int = PLAC
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(own)], ["bucket", "key"])
 
     # a bucket holds one key at most of each document, so it is a small share of all keys
-    each = reps.select("key", "sig").mapInArrow(keys_of, "bucket long, key long")
+    each = in_batches(reps.select("key", "sig"), keys_of, "bucket long, key long")
     shared = saved(each.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).where("n > 1"), "buckets")
     weight = shared.groupBy("key").agg(F.sum("n").alias("w"))
     leader = F.first("key").over(Window.partitionBy("bucket").orderBy(F.col("w").desc(), "key").rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -261,7 +261,7 @@ def near_components(rows: DataFrame, size: int, percent: int, places: int = PLAC
             yield _pairs(list(out))
 
     dealt = _blocks(left, "blocks").select(*order, "key", "component", "n_shingles", "sig").repartition(parts, *order).sortWithinPartitions(*order, "key")
-    clusters = components(dealt.mapInArrow(link_buckets, "u long, v long"))
+    clusters = components(in_batches(dealt, link_buckets, "u long, v long"))
     clusters = saved(clusters.select(F.col("node").alias("key"), F.col("component").alias("cluster")).join(reps.select("key", "n_shingles"), "key"), "clusters")
     over = F.greatest(F.ceil(F.count("*") / cluster), F.ceil(F.sum("n_shingles") / CLUSTER_SHINGLES))
     held = clusters.groupBy("cluster").agg(over.alias("over")).select("cluster", F.expr("case when over <= 1 then 1L else 2 * over end").alias("blocks"))
@@ -278,7 +278,7 @@ def near_components(rows: DataFrame, size: int, percent: int, places: int = PLAC
             if links:
                 yield _pairs([(int(ids[a]), int(ids[b])) for a, b in links])
 
-    more = saved(dealt.select(*order, "key", "component", "data").repartition(parts, *order).sortWithinPartitions(*order, "key").mapInArrow(link_clusters, "u long, v long"), "links")
+    more = saved(in_batches(dealt.select(*order, "key", "component", "data").repartition(parts, *order).sortWithinPartitions(*order, "key"), link_clusters, "u long, v long"), "links")
     if more.limit(1).count():
         found = saved(components(links.unionByName(more)), "components")
     for old in (followers, of, near, used, sets_of_led):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text, saved, slices, text_buffer
+from .common import id_and_text, in_batches, local, saved, slices, text_buffer
 from .wordbpe import SLICE, loaded
 
 #: Plan rows that may be broadcast (about 50 bytes each); a larger plan is joined by shuffle.
@@ -74,7 +74,7 @@ def pieces(docs: DataFrame, tokenizer: str, most: int = 4096, end_id: int | None
                     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()][: 5 + with_ids]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+    return in_batches(id_and_text(docs), run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids, keeps=True)
 
 
 def plan(counts: dict[int, int], capacity: Capacity = Capacity()) -> list[tuple[int, int, int, int, int]]:
@@ -178,9 +178,8 @@ def pack(found: DataFrame, capacity: Capacity = Capacity(), order: tuple[str, ..
     bases = counts.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     within = Window.partitionBy("length", "salt").orderBy(*order)
     ranked = salted.withColumn("rank", F.row_number().over(within) - 1).join(bases, ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("base"))
-    import pandas as pd
-
-    places = spark.createDataFrame(pd.DataFrame(planned, columns=["length", "from", "to", "sequence", "offset"]), "length long, from long, to long, sequence long, offset long")
+    names = ["length", "from", "to", "sequence", "offset"]
+    places = local(spark, pa.table([pa.array(c, pa.int64()) for c in zip(*planned)], names), ", ".join(f"{c} long" for c in names))
     places = places.withColumn("block", F.explode(F.expr(f"sequence(from div {BLOCK}, (to - 1) div {BLOCK})")))
     if sum((to - 1) // BLOCK - first // BLOCK + 1 for _, first, to, _, _ in planned) <= BROADCAST_ROWS:
         places = F.broadcast(places)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import arrow_bounds, drop_path, only, saved, slices, text_buffer
+from .common import arrow_bounds, drop_path, in_batches, local, only, saved, slices, text_buffer
 from .minhash import LOWER
 from .winnow import mix, word_hashes, words_of
 
@@ -263,7 +263,7 @@ def _features(rows: DataFrame) -> tuple[list, Sparse, Dense]:
                 )
 
     # by Arrow, as rows of Python objects take a multiple of the driver's memory; of a bounded sample, in order of a hash
-    table = saved(rows.mapInArrow(describe, "id long, f binary, w binary, p binary"), "quality-sample")
+    table = saved(in_batches(rows, describe, "id long, f binary, w binary, p binary"), "quality-sample")
     so_far = F.sum(F.length("f") + F.length("w") + F.length("p")).over(Window.orderBy(F.xxhash64("id"), "id", "p").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     found = table.withColumn("n", so_far).where(F.col("n") <= FIT_BYTES).orderBy("id", "p").select("id", "f", "w", "p").toArrow()
     drop_path(rows.sparkSession, table)
@@ -294,7 +294,7 @@ class Unlabelled:
                 z = [np.concatenate([x[v] for x in zs]) if zs else np.zeros(0) for v in (0, 1)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).field(0), batch.column(0).field(1), *map(pa.array, z)], ["doc_id", "id", "z0", "z1"])
 
-        z = self.views.select(F.struct("doc_id", "id"), *_COLUMNS[1:]).mapInArrow(run, "doc_id long, id long, z0 double, z1 double")
+        z = in_batches(self.views.select(F.struct("doc_id", "id"), *_COLUMNS[1:]), run, "doc_id long, id long, z0 double, z1 double")
         sure = only(z.where((F.abs("z0") > SURE) | (F.abs("z1") > SURE)).withColumnRenamed("doc_id", "key"), self.known, "left_anti")
         out = saved(sure.groupBy("id").agg(F.max("z0").alias("z0"), F.max("z1").alias("z1")), "quality-sure")
         sent.destroy()
@@ -314,7 +314,7 @@ class Unlabelled:
                     chosen[other][r.id] = good
             self.given[other].update(chosen[other])
         drop_path(spark, z)
-        ids = spark.createDataFrame([(x,) for x in sorted({*chosen[0], *chosen[1]})], "id long")
+        ids = local(spark, pa.table({"id": pa.array(sorted({*chosen[0], *chosen[1]}), pa.int64())}), "id long")
         rows = self.views.join(F.broadcast(ids), "id").dropDuplicates(["id"])
         found, text, page = _features(rows.select("id", *_COLUMNS[1:]))
         return text, page, np.array([[c.get(x, -1) for x in found] for c in chosen]).reshape(2, len(found))
@@ -333,7 +333,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", labell
     # ids first: only the sample's texts are read for good
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().join(known, "doc_id").withColumn("mark", F.xxhash64("doc_id", F.lit("quality")))
     label_of = {r.doc_id: r.label for r in ids.orderBy("mark").limit(labelled).collect()}
-    sample = docs.sparkSession.createDataFrame([(x,) for x in label_of], "doc_id long")
+    sample = local(docs.sparkSession, pa.table({"doc_id": pa.array(list(label_of), pa.int64())}), "doc_id long")
     arrow_bounds(docs.sparkSession)
     views = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(_view(docs, c) for c in _COLUMNS[1:]))
     found, text, page = _features(views.join(F.broadcast(sample), "doc_id").select(F.col("doc_id").alias("id"), *_COLUMNS[1:]))
@@ -356,7 +356,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             out = [m.score(text, page) for _, _, text, page in _described(batch)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(out) if out else np.zeros(0))], ["row", "text", "quality"])
 
-    return rows.mapInArrow(run, StructType([rows.schema["row"], rows.schema["text"], StructField("quality", DoubleType())]))
+    return in_batches(rows, run, StructType([rows.schema["row"], rows.schema["text"], StructField("quality", DoubleType())]))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, saved
+from .common import id_and_text, in_batches, saved
 
 KINDS = ("assign", "access", "hex", "linked")
 #: Characters between parts of a credential at most.
@@ -94,7 +94,7 @@ def parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 ["doc_id", "base", "weak", "near"],
             )
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, _PARTS)
+    return in_batches(id_and_text(docs, id_col, text_col), run, _PARTS)
 
 
 def linked(found: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_array, keyed, merged, ranges, salted_join, saved, slices, text_buffer
+from .common import binary_array, in_batches, keyed, merged, ranges, salted_join, saved, slices, text_buffer
 
 #: Different pieces of one anchor that are solved together at most, and offsets of the anchor that a part of more has, coarse to fine.
 MOST, WIDTHS = 512, (16, 4, 1)
@@ -212,7 +212,7 @@ def find(docs: DataFrame, unit: Unit, buckets: int) -> DataFrame:
             blobs = [_packed({c: v[s:e] for c, v in cols.items()}) for s, e in zip(heads, np.append(heads[1:], len(bucket)))]
             yield pa.RecordBatch.from_arrays([pa.array(bucket[heads], pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "data"])
 
-    return docs.select("key", "text").mapInArrow(run, "bucket long, data binary")
+    return in_batches(docs.select("key", "text"), run, "bucket long, data binary")
 
 
 def matched(found: DataFrame, unit: Unit, buckets: int, most: int) -> DataFrame:
@@ -265,7 +265,7 @@ def matched(found: DataFrame, unit: Unit, buckets: int, most: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(keys[s:e], pa.int64()), *cells], ["key", "cuts", "needs"])
 
     tasks = max(1, buckets // BUCKETS)
-    return found.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "key long, cuts binary, needs binary")
+    return in_batches(found.repartition(tasks, "bucket").sortWithinPartitions("bucket"), run, "key long, cuts binary, needs binary")
 
 
 _NEED = np.dtype([("h", "<u8"), ("lo", "<u4"), ("n", "<u2"), ("a", "u1"), ("big", "u1")])
@@ -318,7 +318,7 @@ def cut_windows(docs: DataFrame, unit: Unit, solve: Callable, finish: Callable,
             yield pa.RecordBatch.from_pydict(out, schema=arrow)
 
     arrow = _arrow(schema)
-    stage = saved(rows.join(by_key, "key", "left").select("key", "doc_id", "text", "cuts", "needs").mapInArrow(first, schema), "windows")
+    stage = saved(in_batches(rows.join(by_key, "key", "left").select("key", "doc_id", "text", "cuts", "needs"), first, schema), "windows")
     done = stage.where("piece is null and text is null").select("doc_id", *names)
     pieces = stage.where("piece is not null").select("h", "key", "lo", "a", "big", "piece")
     small, cuts = pieces.where("not big").drop("big"), []
@@ -340,7 +340,7 @@ def cut_windows(docs: DataFrame, unit: Unit, solve: Callable, finish: Callable,
                 keys, starts, ends = zip(*got)
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([np.array(x, "<u4").tobytes() for x in zip(starts, ends)], pa.binary())], ["key", "cuts"])
 
-    near = small.select("h", "key", "lo", "piece").repartition(tasks, "h").sortWithinPartitions("h", "key", "lo").mapInArrow(solved, "key long, cuts binary")
+    near = in_batches(small.select("h", "key", "lo", "piece").repartition(tasks, "h").sortWithinPartitions("h", "key", "lo"), solved, "key long, cuts binary")
     for cut in cuts:
         near = near.unionByName(cut)
     extra = near.groupBy("key").agg(F.collect_list("cuts").alias("more"))
@@ -354,7 +354,7 @@ def cut_windows(docs: DataFrame, unit: Unit, solve: Callable, finish: Callable,
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), final.types)], schema=final)
 
     final = _arrow("doc_id long, " + columns)
-    rest = stage.where("text is not null").join(extra, "key", "left").select("doc_id", "text", "cuts", "more").mapInArrow(last, "doc_id long, " + columns)
+    rest = in_batches(stage.where("text is not null").join(extra, "key", "left").select("doc_id", "text", "cuts", "more"), last, "doc_id long, " + columns)
     return done.unionByName(rest)
 
 
@@ -418,7 +418,7 @@ def split(pieces: DataFrame, unit: Unit, width: int) -> tuple[DataFrame, DataFra
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
 
     names, kinds = ["id", "key", "lo", "a", "size"], [pa.binary(), *[pa.int64()] * 4]
-    rows = saved(pieces.select("h", "key", "lo", "a", "piece").mapInArrow(parts, "id binary, key long, lo long, a long, size long"), "parts")
+    rows = saved(in_batches(pieces.select("h", "key", "lo", "a", "piece"), parts, "id binary, key long, lo long, a long, size long"), "parts")
     first = saved(rows.groupBy("id").agg(F.min(F.struct("key", "lo", "a")).alias("first")), "firsts")
     met = salted_join(rows.select("id", "key", "lo", "size"), first, "id", "lo")
     later = F.col("key") > F.col("first.key") if unit.earlier_document else F.struct("key", "lo") > F.struct("first.key", "first.lo")

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import ranges
+from .common import KEPT, give_back, ranges
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -25,14 +25,14 @@ MOST_CHUNKS = 400_000
 #: Bytes of text that are encoded at once.
 SLICE = 4 << 20
 _LATIN = r"[\x21-\x7e\xa1-\xff\n]*"
-_loaded: dict[str, "WordBpe"] = {}
 
 
 def loaded(path: str) -> "WordBpe":
-    """One instance for each worker and file."""
-    if path not in _loaded:
-        _loaded[path] = WordBpe(path)
-    return _loaded[path]
+    """One instance for each worker and file, while the worker encodes."""
+    if path not in KEPT:
+        KEPT[path] = WordBpe(path)
+        give_back()
+    return KEPT[path]
 
 
 class WordBpe:
