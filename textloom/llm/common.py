@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -37,11 +38,45 @@ def workspace(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Share of the driver's largest heap from which it is collected whole.
+DRIVER_HEAP = 0.5
+
+
+def trim_driver(spark: SparkSession) -> str:
+    """What the C library keeps of the JVM's freed memory goes back to the system; what the JVM says to that, empty where it has no such command."""
+    jvm, named = spark._jvm, spark._jvm.java.lang.Class.forName
+
+    def array(kind, *items):
+        out = spark.sparkContext._gateway.new_array(kind, len(items))
+        for i, x in enumerate(items):
+            out[i] = x
+        return out
+
+    try:
+        # the server's class is closed to py4j, its interface isn't
+        kinds = map(named, ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;"))
+        invoke = named("javax.management.MBeanServer").getMethod("invoke", array(jvm.java.lang.Class, *kinds))
+        commands = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        return invoke.invoke(server, array(jvm.java.lang.Object, commands, "systemTrimNativeHeap", None, None))
+    except Py4JError:  # another JVM or C library
+        return ""
+
+
+def relieve(spark: SparkSession) -> None:
+    """The driver gives back what many short queries leave behind: garbage that would grow its heap to the limit, and memory that planning and compiling freed."""
+    runtime = spark._jvm.java.lang.Runtime.getRuntime()
+    if runtime.totalMemory() > DRIVER_HEAP * runtime.maxMemory():
+        spark._jvm.java.lang.System.gc()
+    trim_driver(spark)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: lineage ends at a table that outlives executors."""
     path = workspace(df.sparkSession, name)
     # small row groups and pages: what a task holds of a table is bounded by them, in writing and in reading
     df.write.option("parquet.block.size", 8 << 20).option("parquet.page.size", 128 << 10).parquet(path)
+    relieve(df.sparkSession)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._textloom_path = path
     return out
