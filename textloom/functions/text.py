@@ -6,9 +6,21 @@ The empty pattern occurs before each code point and at the end. A null text give
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes and rows that an Arrow batch should hold at most (a single longer row still travels whole).
+BATCH_BYTES, BATCH_ROWS = 1 << 20, 4096
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of the session are bounded in bytes, so that a worker's memory doesn't grow with texts and tables, where Spark has the setting."""
+    for key, value in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", BATCH_ROWS)):
+        try:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(value))
+        except Exception:  # noqa: BLE001  an older Spark: the row bound alone holds
+            pass
+
 
 def quoted(pattern: str) -> str:
     """A Java regular expression for exactly this text."""
