@@ -238,29 +238,28 @@ def sequence_starts(spark, sf_dir):
     return sequences.run_starts(_sequence(spark, sf_dir))
 
 
-def _suffixes(spark, sf_dir):
-    names = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("text"))
-    return suffixes.suffix_array(names)
+def _names(spark, sf_dir):
+    return _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("text"))
 
 
 def suffix_array(spark, sf_dir):
-    return _suffixes(spark, sf_dir)
+    return suffixes.suffix_array(_names(spark, sf_dir))
 
 
 def burrows_wheeler(spark, sf_dir):
-    return suffixes.bwt(_suffixes(spark, sf_dir))
+    return suffixes.transform(_names(spark, sf_dir))
 
 
 def symbols_less(spark, sf_dir):
-    return suffixes.c_table(suffixes.bwt(_suffixes(spark, sf_dir)))
+    return suffixes.c_table(suffixes.transform(_names(spark, sf_dir)))
 
 
 def last_to_first(spark, sf_dir):
-    return suffixes.lf_mapping(saved(suffixes.bwt(_suffixes(spark, sf_dir)), "bwt"))
+    return suffixes.lf_mapping(suffixes.transform(_names(spark, sf_dir)))
 
 
 def inverse_transform(spark, sf_dir):
-    return suffixes.inverse(saved(suffixes.bwt(_suffixes(spark, sf_dir)), "bwt"))
+    return suffixes.inverse(suffixes.transform(_names(spark, sf_dir)))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
