@@ -5,6 +5,8 @@ The empty pattern occurs before each code point and at the end. A null text give
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -53,20 +55,27 @@ def overlap_count(text: Column | str, pattern: str) -> Column:
     return (gone / len(pattern.encode())).cast("bigint")
 
 
-def find_all(text: str, pattern: str) -> list[int]:
-    """Ascending 0-based code-point offsets of all occurrences in one string."""
+def each_found(text: str, pattern: str) -> Iterator[int]:
+    """Ascending 0-based code-point offsets of all occurrences in one string, one by one."""
     if pattern == "":
-        return list(range(len(text) + 1))
-    out, at = [], text.find(pattern)
+        yield from range(len(text) + 1)
+        return
+    at = text.find(pattern)
     while at >= 0:
-        out.append(at)
+        yield at
         at = text.find(pattern, at + 1)
-    return out
+
+
+def find_all(text: str, pattern: str) -> list[int]:
+    """The same offsets as a list."""
+    return list(each_found(text, pattern))
 
 
 def positions(text: Column | str, pattern: str) -> Column:
     """Offsets of all occurrences (array<bigint>, ascending), in Arrow batches: no built-in gives them in linear time."""
     text = F.col(text) if isinstance(text, str) else text
+    if (session := SparkSession.getActiveSession()) is not None:
+        bounded_batches(session)
 
     @F.pandas_udf("array<bigint>")
     def run(texts: pd.Series) -> pd.Series:

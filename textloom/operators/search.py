@@ -7,13 +7,18 @@ task. Occurrences overlap, offsets are 0-based code points, and rows come in no
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
-from ..functions.text import find_all, overlap_count, positions, quoted
+from ..functions.text import bounded_batches, each_found, overlap_count, quoted
+
+#: Rows of occurrences that a worker holds before it hands them on.
+FOUND_ROWS = 1 << 16
 
 
 def _holding(docs: DataFrame, pattern: str, doc_id: int | None = None) -> DataFrame:
@@ -63,7 +68,31 @@ def locate(docs: DataFrame, pattern: str, doc_id: int | None = None) -> DataFram
     held = _holding(docs, pattern, doc_id)
     if pattern == "":
         return held.select("doc_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.length("text").cast("bigint"))).alias("pos"))
-    return held.select("doc_id", F.explode(positions("text", pattern)).alias("pos"))
+    bounded_batches(docs.sparkSession)
+    schema = StructType([docs.schema["doc_id"], *StructType().add("pos", LongType()).fields])
+    return held.select("doc_id", "text").mapInArrow(_located(pattern), schema)
+
+
+def _located(pattern: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From (doc_id, text) a row (doc_id, pos) for each occurrence; a text at a time, and FOUND_ROWS of rows at most, so that memory doesn't grow with batches or hits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, hits = [], []
+            for i, text in enumerate(batch.column(1)):
+                for pos in each_found(text.as_py(), pattern):
+                    at.append(i)
+                    hits.append(pos)
+                    if len(hits) >= FOUND_ROWS:
+                        yield handed(batch, at, hits)
+                        at, hits = [], []
+            if hits:
+                yield handed(batch, at, hits)
+
+    def handed(batch: pa.RecordBatch, at: list[int], hits: list[int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(hits, pa.int64())], ["doc_id", "pos"])
+
+    return run
 
 
 def locate_by_windows(docs: DataFrame, pattern: str, doc_id: int | None = None) -> DataFrame:
@@ -93,7 +122,8 @@ def chunks(docs: DataFrame, size: int, overlap: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                text = text.as_py()
                 starts = range(0, len(text) + 1, size)
                 last = starts[-1]
                 for a in range(0, len(starts), 64):
@@ -101,6 +131,7 @@ def chunks(docs: DataFrame, size: int, overlap: int) -> DataFrame:
                     rows = {"doc_id": [key] * len(own), "at": list(own), "text": [text[s : s + size + overlap] for s in own], "owned": [size + (s == last) for s in own]}
                     yield pa.RecordBatch.from_pydict(rows, schema=kind)
 
+    bounded_batches(docs.sparkSession)
     kind = pa.schema([("doc_id", pa.int64()), ("at", pa.int64()), ("text", pa.string()), ("owned", pa.int64())])
     return docs.where(F.col("text").isNotNull()).select("doc_id", "text").mapInArrow(run, "doc_id bigint, at bigint, text string, owned bigint")
 
@@ -111,8 +142,10 @@ def locate_in_chunks(docs: DataFrame, pattern: str, size: int = 1 << 20) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, at, text, owned in zip(*(c.to_pylist() for c in batch.columns)):
-                hits = [at + i for i in find_all(text, pattern) if i < owned]
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(hits), pa.int64()), pa.array(hits, pa.int64())], ["doc_id", "pos"])
+            for row in zip(*batch.columns):
+                key, at, text, owned = (x.as_py() for x in row)
+                found = (at + i for i in each_found(text, pattern) if i < owned)
+                while hits := list(islice(found, FOUND_ROWS)):
+                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(hits), pa.int64()), pa.array(hits, pa.int64())], ["doc_id", "pos"])
 
     return cut.mapInArrow(run, "doc_id bigint, pos bigint")
